@@ -157,6 +157,7 @@ def _search(df: DataFrame, p: Phrases, extra: list[str]) -> DataFrame:
         yield from flush()
 
     session(df)
+    extra = [c for c in extra if c != "doc_id"]
     keep = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c) for c in extra if c != "text")]
     return df.select(*keep).mapInArrow(run, schema)
 

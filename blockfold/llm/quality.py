@@ -105,16 +105,18 @@ def features(df: DataFrame, window: int = 5) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def distance(own: list[str], reference: list[str]) -> Column:
-    """Jensen-Shannon distance (base 2) of two histograms given by their counts' columns; 0 where one is empty."""
-    m, n = F.col("_m"), F.col("_n")
-    terms = []
-    for a, b in zip(own, reference, strict=True):
-        p, q = F.col(a) / m, F.col(b) / n
-        for x in (p, q):
-            terms.append(F.when(x > 0, x * F.log2(x / ((p + q) / 2))).otherwise(0.0))
-    divergence = reduce(lambda a, b: a + b, terms) / 2
-    return F.when((m > 0) & (n > 0), F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(0.0)
+def distance(own: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance (base 2) of two arrays of counts; 0 where one is empty."""
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+    def part(x: Column, y: Column) -> Column:
+        return F.when(x > 0, x * F.log2(x / ((x + y) / 2))).otherwise(0.0)
+
+    pairs = F.zip_with(own, reference, lambda a, b: F.struct((a / total(own)).alias("p"), (b / total(reference)).alias("q")))
+    divergence = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + part(x["p"], x["q"]) + part(x["q"], x["p"])) / 2
+    return F.when((total(own) > 0) & (total(reference) > 0), F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(0.0)
 
 
 def judge(df: DataFrame, keep_text: bool = True) -> DataFrame:
@@ -138,16 +140,16 @@ def judge(df: DataFrame, keep_text: bool = True) -> DataFrame:
         own = F.broadcast(own)
     out = rows.join(own, F.col("_lang") == F.col("_ref"), "left")
     kept = [c for c in rows.columns if c not in (*every, "_lang")]
-    known = (F.col("_lang").isin(*COMMON) & F.col("_ref").isNotNull()).alias("_known")
-    out = out.select(*kept, *every, known, *(F.coalesce(f"r_{c}", F.lit(pool[c] or 0).cast("long")).alias(f"r_{c}") for c in every))
-    for names, made in ((COUNTS, "char_distance"), (WORD_COUNTS, "word_distance")):
-        total = lambda ns: reduce(lambda a, b: a + b, (F.col(c) for c in ns)).cast("double")
-        refs = [f"r_{c}" for c in names]
-        out = out.withColumns({"_m": total(names), "_n": total(refs)}).withColumn(made, distance(names, refs))
-    out = out.withColumn("word_distance", F.when(F.col("_known"), F.col("word_distance")).otherwise(0.0))
+    known = F.col("_lang").isin(*COMMON) & F.col("_ref").isNotNull()
+
+    def compared(names: list[str]) -> Column:
+        refs = [F.coalesce(f"r_{c}", F.lit(pool[c] or 0).cast("long")).cast("double") for c in names]
+        return distance(F.array(*(F.col(c).cast("double") for c in names)), F.array(*refs))
+
+    out = out.select(*kept, compared(COUNTS).alias("char_distance"), F.when(known, compared(WORD_COUNTS)).otherwise(0.0).alias("word_distance"))
     fits = (F.col("n_words") < MIN_CHAR_WORDS) | (F.col("char_distance") <= MAX_CHAR_DISTANCE)
     fits = fits & ((F.col("n_words") < MIN_WORD_WORDS) | (F.col("word_distance") <= MAX_WORD_DISTANCE))
-    return out.withColumn("kept", ~F.col("base_failed") & fits).select(*kept, "char_distance", "word_distance", "kept")
+    return out.withColumn("kept", ~F.col("base_failed") & fits)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

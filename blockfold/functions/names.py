@@ -29,8 +29,8 @@ def from_u64(value: Column) -> Column:
     """The canonical string of a DECIMAL(20, 0) value."""
     head = F.floor(value / F.lit(16)).cast("decimal(20,0)").cast("long")
     tail = (value - head.cast("decimal(20,0)") * F.lit(16)).cast("int")
-    places = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.shiftright(F.lit(0), 0) + i)
-    chars = F.transform(places, lambda i: F.substring(F.lit(ALPHABET), (F.floor(head / F.pow(F.lit(32.0), 11 - i)).cast("long") % 32 + 1).cast("int"), F.lit(1)))
+    code = lambda i: F.call_function("shiftright", head, (F.lit(11) - i) * 5) % 32
+    chars = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.substring(F.lit(ALPHABET), (code(i) + 1).cast("int"), F.lit(1)))
     return F.rtrim(F.concat(F.array_join(chars, ""), F.substring(F.lit(ALPHABET), tail + 1, F.lit(1))), F.lit("."))
 
 

@@ -61,7 +61,7 @@ def date_range(start: str | None, end: str | None) -> tuple[int, int]:
         return f"{int(y) + by:04}-{m}-{day:02}" + (f":{h}" if h else "")
 
     first, last = parse_date(start or year(end, -1)), parse_date(end or year(start, 1), end=True)
-    if last - first > 366 * 24:
+    if (last - first) // 24 > 366:
         raise ValueError("a date range has at most 366 days")
     return first, last
 

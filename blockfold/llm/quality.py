@@ -155,3 +155,41 @@ def judge(df: DataFrame, keep_text: bool = True) -> DataFrame:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle() -> str:
+    """DuckDB SQL for op1."""
+    classes = ", ".join(f"length(regexp_replace(t, '{p}', '', 'g')) AS c_{c}" for c, p in CLASSES.items())
+    rest = " - ".join(["length(t)", *(f"c_{c}" for c in CLASSES), "c_symbol"])
+    slots = ", ".join("CASE lang " + " ".join(f"WHEN '{k}' THEN len(list_filter(lw, lambda x: x = '{v[i]}'))" for k, v in COMMON.items()) + f" ELSE 0 END AS w_{i}" for i in range(SLOTS))
+    w_rest = " - ".join(["n_words", *(f"w_{i}" for i in range(SLOTS))])
+    every = [*COUNTS, *WORD_COUNTS]
+    sums = ", ".join(f"sum({c}) AS r_{c}" for c in every)
+    pool = ", ".join(f"sum(r_{c}) AS r_{c}" for c in every)
+    refs = ", ".join(f"coalesce(o.r_{c}, p.r_{c}) AS r_{c}" for c in every)
+
+    def js(names: list[str]) -> str:
+        m, n = (" + ".join(f"{x}{c}" for c in names) for x in ("", "r_"))
+        terms = []
+        for c in names:
+            p, q = f"({c} / m)", f"(r_{c} / n)"
+            terms += [f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END" for x in (p, q)]
+        return f"(SELECT CASE WHEN m > 0 AND n > 0 THEN sqrt(greatest(({' + '.join(terms)}) / 2, 0)) ELSE 0 END FROM (SELECT ({m})::DOUBLE AS m, ({n})::DOUBLE AS n))"
+
+    known = ", ".join(f"'{k}'" for k in COMMON)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(lang, '')) AS lang FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+grams AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS i FROM again) GROUP BY doc_id),
+f AS (SELECT w.doc_id, lang, t, len(w) AS n_words, list_transform(w, lambda x: lower(x)) AS lw, {classes}, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS c_symbol,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id)),
+g AS (SELECT *, {rest} AS c_punct, {slots}, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+h AS (SELECT *, {w_rest} AS w_rest FROM g),
+o AS (SELECT lang, count(*) AS docs, {sums} FROM h WHERE NOT base_failed GROUP BY lang),
+p AS (SELECT {pool} FROM o),
+j AS (SELECT h.*, o.lang IS NOT NULL AND h.lang IN ({known}) AS known, {refs} FROM h CROSS JOIN p LEFT JOIN (SELECT * FROM o WHERE docs >= {MIN_DOCS}) o ON h.lang = o.lang)
+SELECT doc_id, n_words, (length(t) - c_white)::BIGINT AS word_chars, c_symbol::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND (n_words < {MIN_CHAR_WORDS} OR {js(COUNTS)} <= {MAX_CHAR_DISTANCE}) AND (n_words < {MIN_WORD_WORDS} OR NOT known OR {js(WORD_COUNTS)} <= {MAX_WORD_DISTANCE}) AS kept
+FROM j"""

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination
+from . import chat, decontamination, quality, sharding
 from .common import Query
 from .idfiles import op10_id_files
 from .linededup import op6_line_dedup
 from .packing import op3_packing
-from .quality import op1_quality
 from .scoring import op5_scoring
-from .sharding import op2_sharding
 from .simhash import op8_simhash
 from .suffixdedup import op9_suffix_dedup
 
 QUERIES: dict[str, Query] = {
-    "op1_quality": op1_quality,
-    "op2_sharding": op2_sharding,
+    "op1_quality": quality.op1_quality,
+    "op2_sharding": sharding.op2_sharding,
     "op3_packing": op3_packing,
     "op4_chat": chat.op4_chat,
     "op5_scoring": op5_scoring,
@@ -27,6 +25,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality": quality.oracle(),
+    "op2_sharding": sharding.oracle(),
     "op4_chat": chat.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
 }

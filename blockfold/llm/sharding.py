@@ -95,6 +95,16 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def crc_table() -> str:
+    """CRC-32 of each byte, as a SQL list."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return str(out) + "::BIGINT[]"
+
+
 def oracle(n_shards: int = 8, seed: int = 2024) -> str:
     """DuckDB SQL for op2: the same law, the cycle walked by a recursive query. The halves' widths depend on n, as in `widths`."""
     x = "SELECT doc_id, n, rb, xor(l, ((t * t + t) % {p2}) & lm) AS l, r, lm, rm FROM (SELECT *, (r * {a} + {k}) % {p1} AS t FROM ({s}))"
@@ -107,13 +117,17 @@ def oracle(n_shards: int = 8, seed: int = 2024) -> str:
         return f"SELECT doc_id, n, rb + length(ltrim(bin(lm), '0')) AS bits, (l << rb) | r AS x FROM ({s})"
 
     return f"""
-WITH RECURSIVE counted AS (
+WITH RECURSIVE sums AS (
+  SELECT doc_id, xor(4294967295::BIGINT, list_reduce(list_transform(range(strlen(h) // 2), lambda i: (instr('0123456789ABCDEF', substr(h, CAST(2 * i + 1 AS BIGINT), 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, CAST(2 * i + 2 AS BIGINT), 1)) - 1),
+    lambda c, b: xor(({crc_table()})[xor(c & 255, b) + 1], c >> 8), 4294967295::BIGINT)) AS crc
+  FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)),
+counted AS (
   SELECT doc_id, n, greatest(2, CASE WHEN n <= 1 THEN 0 ELSE length(ltrim(bin(n - 1), '0')) END)::BIGINT AS bits, x FROM (
     SELECT doc_id, count(*) OVER () AS n, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS x FROM documents)),
 walk AS (
   {once("counted")}
   UNION ALL
   {once("(SELECT * FROM walk WHERE x >= n)")})
-SELECT d.doc_id, strlen(coalesce(d.text, ''))::BIGINT + 1 AS size, 'CRC' AS text_crc32, 'rows' AS law,
+SELECT d.doc_id, strlen(coalesce(d.text, ''))::BIGINT + 1 AS size, sums.crc AS text_crc32, 'rows' AS law,
   (w.x % {n_shards})::INTEGER AS shard, (w.x // {n_shards})::BIGINT AS slot, NULL::INTEGER AS grown_shard
-FROM documents d JOIN walk w ON d.doc_id = w.doc_id AND w.x < w.n"""
+FROM documents d JOIN walk w ON d.doc_id = w.doc_id AND w.x < w.n JOIN sums ON d.doc_id = sums.doc_id"""

@@ -43,7 +43,7 @@ class Phrases(NamedTuple):
     vocabulary: _Vocabulary  # ids from 2; 1: not a benchmark word
     windows: dict[int, np.ndarray]  # length: (n, length) ids
     items: dict[int, list[np.ndarray]]  # length: item numbers of each window
-    item_ids: np.ndarray
+    item_ids: list[int | None]
 
 
 def phrases(items: list[tuple[int, str | None]], window: int) -> Phrases:
@@ -60,7 +60,7 @@ def phrases(items: list[tuple[int, str | None]], window: int) -> Phrases:
         vocabulary,
         {n: np.array(list(w), np.int64) for n, w in found.items()},
         {n: [np.array(x) for x in w.values()] for n, w in found.items()},
-        np.array([i for i, _ in items], np.int64),
+        [i for i, _ in items],
     )
 
 
@@ -139,7 +139,7 @@ def _search(df: DataFrame, p: Phrases, extra: list[str]) -> DataFrame:
                     own = hit[at : at + len(docs[doc])]
                     at += len(own)
                     spans = byte_spans(text, own) if own.any() else []
-                    rows.append((len(own), int(own.sum()), sorted(set(p.item_ids[list(items[doc])].tolist())) if items[doc] else [], [{"begin": a, "end": b} for a, b in spans]))
+                    rows.append((len(own), int(own.sum()), sorted({p.item_ids[k] for k in items[doc]} - {None}), [{"begin": a, "end": b} for a, b in spans]))
                     doc += 1
                 columns = zip(*rows, strict=True) if rows else [[]] * 4
                 made = [pa.array(c, out.field(k + 1).type) for k, c in enumerate(columns)]
@@ -166,7 +166,7 @@ def search(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, extra: tup
     """Per row of df (doc_id, text): n_words, n_hit, items (ids of items with an occurring window), byte spans to remove.
 
     Null, empty and wordless texts have no words and no hits; items without
-    words have no windows. Repeated rows give a row each; of further columns
+    words have no windows, one without an id hits but is not listed. Repeated rows give a row each; of further columns
     those in `extra` are carried along. An empty benchmark hits nothing. The
     benchmark is searched for in blocks of BLOCK_WORDS words; beyond one, the
     blocks' results of a document are joined by a row number.

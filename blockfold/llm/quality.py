@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WHITE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-#: Character classes by the pattern of what does not belong to them; the rest of the ASCII punctuation is the last class.
-CLASSES = {"lower": "[^a-z]+", "upper": "[^A-Z]+", "digit": "[^0-9]+", "white": r"[^\x20\x09-\x0D]+", "other": r"[\x00-\x7F]+"}
+#: Character classes: white space, lower-case ASCII letters, those with a pattern of what does not belong to them, and all other ASCII.
+PATTERNS = {"upper": "[^A-Z]+", "digit": "[^0-9]+", "symbol": r"[^#*$%&|<>]+", "other": r"[\x00-\x7F]+"}
 #: Common words of a language (fixed values: its most frequent function words).
 COMMON = {
     "de": ("der", "die", "und", "den", "von", "zu", "das", "mit", "ist", "im"),
@@ -37,7 +36,7 @@ MIN_DOCS = 20
 #: Languages up to which the references are broadcast.
 MAX_BROADCAST = 10_000
 
-COUNTS = [f"c_{c}" for c in (*CLASSES, "symbol", "punct")]
+COUNTS = [f"c_{c}" for c in ("white", "lower", *PATTERNS, "punct")]
 WORD_COUNTS = [*(f"w_{i}" for i in range(SLOTS)), "w_rest"]
 
 
@@ -49,38 +48,40 @@ def features(df: DataFrame, window: int = 5) -> DataFrame:
     """
     keep = df.columns
     lang = F.lower(F.col("lang")) if "lang" in keep else F.lit(None).cast("string")
-    out = df.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.coalesce(lang, F.lit("")).alias("_lang"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    out = df.select(*keep, text.alias("_text"), F.trim(text, F.lit(WHITE)).alias("_core"), F.coalesce(lang, F.lit("")).alias("_lang"))
     out = out.select(
         *keep,
         "_lang",
         F.length("_text").cast("long").alias("_chars"),
-        F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_words"),
+        F.when(F.col("_core") == "", F.array().cast("array<string>")).otherwise(F.split("_core", r"[\x20\x09-\x0D]+")).alias("_words"),
         F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
-        *(F.length(F.regexp_replace("_text", pattern, "")).cast("long").alias(f"c_{name}") for name, pattern in CLASSES.items()),
-        F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("c_symbol"),
     )
+    out = out.select("*", F.array_join("_words", "").alias("_joined"))
+    out = out.select(*keep, "_lang", "_chars", "_words", "_lines", F.length("_joined").cast("long").alias("word_chars"), F.regexp_replace("_joined", "[a-z]+", "").alias("_rest"))
+    out = out.select("*", F.length("_rest").cast("long").alias("_left"), *(F.length(F.regexp_replace("_rest", p, "")).cast("long").alias(f"c_{c}") for c, p in PATTERNS.items()))
 
     # windows: a hash each; where some repeat, sorted beside their places, and the places' reach added up
     def gram(i: Column) -> Column:
         return F.xxhash64(*(F.get("_words", i + k) for k in range(window)))
 
     last = F.size("_words") - window
-    rest = F.col("_chars") - reduce(lambda a, b: a + b, (F.col(f"c_{c}") for c in (*CLASSES, "symbol")))
-    counted = [c for c in COUNTS if c != "c_punct"]
     out = out.select(
         *keep,
         "_lang",
-        *counted,
-        rest.alias("c_punct"),
+        (F.col("_chars") - F.col("word_chars")).alias("c_white"),
+        (F.col("word_chars") - F.col("_left")).alias("c_lower"),
+        *(f"c_{c}" for c in PATTERNS),
+        (F.col("_left") - reduce(lambda a, b: a + b, (F.col(f"c_{c}") for c in PATTERNS))).alias("c_punct"),
         F.size("_words").cast("long").alias("n_words"),
-        (F.col("_chars") - F.col("c_white")).alias("word_chars"),
+        "word_chars",
         F.col("c_symbol").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), gram)).alias("_grams"),
         # common words are what goes missing when one is taken out of the words set between two spaces
-        F.concat(F.lit(" "), F.array_join(F.transform("_words", F.lower), "  "), F.lit(" ")).alias("_spaced"),
+        F.concat(F.lit(" "), F.lower(F.array_join("_words", "  ")), F.lit(" ")).alias("_spaced"),
     )
-    found = [*counted, "c_punct", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    found = [*COUNTS, "n_words", "word_chars", "n_symbols", "n_dup_lines"]
     same = F.size(F.array_distinct("_grams")) == F.size("_grams")
     slots = []
     for i in range(SLOTS):
@@ -159,8 +160,9 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     """DuckDB SQL for op1."""
-    classes = ", ".join(f"length(regexp_replace(t, '{p}', '', 'g')) AS c_{c}" for c, p in CLASSES.items())
-    rest = " - ".join(["length(t)", *(f"c_{c}" for c in CLASSES), "c_symbol"])
+    own = {"white": r"[^\x20\x09-\x0D]+", "lower": "[^a-z]+", **PATTERNS}
+    classes = ", ".join(f"length(regexp_replace(t, '{p}', '', 'g')) AS c_{c}" for c, p in own.items())
+    rest = " - ".join(["length(t)", *(f"c_{c}" for c in own)])
     slots = ", ".join("CASE lang " + " ".join(f"WHEN '{k}' THEN len(list_filter(lw, lambda x: x = '{v[i]}'))" for k, v in COMMON.items()) + f" ELSE 0 END AS w_{i}" for i in range(SLOTS))
     w_rest = " - ".join(["n_words", *(f"w_{i}" for i in range(SLOTS))])
     every = [*COUNTS, *WORD_COUNTS]
@@ -183,7 +185,7 @@ w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x:
 grams AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
 covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS i FROM again) GROUP BY doc_id),
-f AS (SELECT w.doc_id, lang, t, len(w) AS n_words, list_transform(w, lambda x: lower(x)) AS lw, {classes}, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS c_symbol,
+f AS (SELECT w.doc_id, lang, t, len(w) AS n_words, list_transform(w, lambda x: lower(x)) AS lw, {classes},
   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id)),
 g AS (SELECT *, {rest} AS c_punct, {slots}, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
 h AS (SELECT *, {w_rest} AS w_rest FROM g),

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import assets, codecs, names, timeslots
@@ -84,11 +84,12 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.col("user_id"), F.round(F.col("value") * 10000).cast("long").alias("quantity"))
 
 
-def _f(*columns) -> Query:
-    return lambda spark, sf_dir: _lines(spark, sf_dir).select("event_id", *columns)
+def _f(columns: Callable[[], list[Column]]) -> Query:
+    """Columns are made when the query runs, as they need a session."""
+    return lambda spark, sf_dir: _lines(spark, sf_dir).select("event_id", *columns())
 
 
-def _raw_name():
+def _raw_name() -> Column:
     return F.concat(F.upper(F.substring("event_type", 1, 2)), "event_type", F.lit("z9."), F.col("user_id").cast("string"), F.lit("zz"))
 
 
@@ -207,8 +208,6 @@ def _meta(h: History) -> DataFrame:
 
 
 def _ordered(h: History) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("block_num").orderBy("global_seq")
     return h.actions.select("block_num", "global_seq", (F.row_number().over(w) - 1).cast("long").alias("position"))
 
@@ -259,8 +258,14 @@ def _varint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("event_id", F.lower(F.hex("raw")).alias("raw"), codecs.varint_numbers("raw").alias("n"))
 
 
-_SLOT = F.col("event_id") * 7919 + 1_500_000_000
-_DATE = F.concat(F.lit("2024-0"), (F.col("event_id") % 9 + 1).cast("string"), F.lit("-"), F.lpad((F.col("event_id") % 31 + 1).cast("string"), 2, "0"), F.when(F.col("event_id") % 2 == 0, ":05").otherwise(""))
+def _slot() -> Column:
+    return F.col("event_id") * 7919 + 1_500_000_000
+
+
+def _date() -> Column:
+    digit, day = (F.col("event_id") % 9 + 1).cast("string"), (F.col("event_id") % 31 + 1).cast("string")
+    return F.concat(F.lit("2024-0"), digit, F.lit("-"), F.lpad(day, 2, "0"), F.when(F.col("event_id") % 2 == 0, ":05").otherwise(""))
+
 
 QUERIES: dict[str, Query] = {
     # scans
@@ -358,17 +363,17 @@ QUERIES: dict[str, Query] = {
     "notified_distinct": _on(lambda h: canonical.notified(h.actions).groupBy("global_seq").agg(F.count("*").alias("n"))),
     "missing_seqs": _on(lambda h: _seqs(canonical.notified(h.actions).where("account = 'ub'")).exceptAll(_seqs(_account(h)))),
     # scalar functions
-    "name_canonical": _f(names.canonical(_raw_name()).alias("name")),
-    "name_to_u64": _f(names.to_u64(F.col("event_type")).cast("string").alias("value"), names.from_u64(names.to_u64(F.col("event_type"))).alias("name")),
-    "symbol_code": _f(assets.symbol_value(F.upper("event_type"), F.lit(4)).alias("symbol"), assets.symbol_code(F.floor(assets.symbol_value(F.upper("event_type"), F.lit(4)) / 256)).alias("code")),
-    "asset_format": _f(assets.asset_format(F.col("quantity") - 500_000, (F.col("event_id") % 5).cast("int"), F.lit("TOK")).alias("asset")),
+    "name_canonical": _f(lambda: [names.canonical(_raw_name()).alias("name")]),
+    "name_to_u64": _f(lambda: [names.to_u64(F.col("event_type")).cast("string").alias("value"), names.from_u64(names.to_u64(F.col("event_type"))).alias("name")]),
+    "symbol_code": _f(lambda: [assets.symbol_value(F.upper("event_type"), F.lit(4)).alias("symbol"), assets.symbol_code(F.floor(assets.symbol_value(F.upper("event_type"), F.lit(4)) / 256)).alias("code")]),
+    "asset_format": _f(lambda: [assets.asset_format(F.col("quantity") - 500_000, (F.col("event_id") % 5).cast("int"), F.lit("TOK")).alias("asset")]),
     "asset_parse": lambda s, d: _lines(s, d).select("event_id", assets.asset_parse(assets.asset_format(F.col("quantity") - 500_000, (F.col("event_id") % 5).cast("int"), F.lit("TOK"))).alias("p")).select("event_id", "p.amount", F.col("p.precision").cast("long").alias("precision"), "p.code"),
-    "slot_to_time": _f(timeslots.slot_to_time(_SLOT).alias("time")),
-    "time_to_slot": _f(timeslots.time_to_slot(F.concat(timeslots.slot_to_time(_SLOT), F.lit("Z"))).alias("slot")),
-    "slot_to_hour": _f(timeslots.slot_to_hour(_SLOT).alias("hour")),
-    "parse_date": _f(timeslots.date_to_hour(_DATE).alias("first_hour"), timeslots.date_to_hour(_DATE, True).alias("last_hour")),
-    "datehour_codec": _f(timeslots.datehour_pack(timeslots.slot_to_hour(_SLOT)).alias("packed"), timeslots.datehour_unpack(timeslots.datehour_pack(timeslots.slot_to_hour(_SLOT))).alias("hour")),
-    "hour_to_date": _f(timeslots.hour_to_date(timeslots.slot_to_hour(_SLOT)).alias("date")),
+    "slot_to_time": _f(lambda: [timeslots.slot_to_time(_slot()).alias("time")]),
+    "time_to_slot": _f(lambda: [timeslots.time_to_slot(F.concat(timeslots.slot_to_time(_slot()), F.lit("Z"))).alias("slot")]),
+    "slot_to_hour": _f(lambda: [timeslots.slot_to_hour(_slot()).alias("hour")]),
+    "parse_date": _f(lambda: [timeslots.date_to_hour(_date()).alias("first_hour"), timeslots.date_to_hour(_date(), True).alias("last_hour")]),
+    "datehour_codec": _f(lambda: [timeslots.datehour_pack(timeslots.slot_to_hour(_slot())).alias("packed"), timeslots.datehour_unpack(timeslots.datehour_pack(timeslots.slot_to_hour(_slot()))).alias("hour")]),
+    "hour_to_date": _f(lambda: [timeslots.hour_to_date(timeslots.slot_to_hour(_slot())).alias("date")]),
     "action_bytes": _action_bytes(False),
     "action_digest": _action_bytes(True),
     "varint_codec": _varint,
@@ -376,16 +381,16 @@ QUERIES: dict[str, Query] = {
     "abi_decode": _decode,
     "remove_nulls": _json(codecs.remove_nulls),
     "json_safe_ints": _json(codecs.json_safe_ints),
-    "trx_status_name": _f(codecs.status_name(F.col("event_id") % 7).alias("status")),
-    "expiration_to_string": _f(codecs.expiration(F.col("event_id") * 99_991).alias("expires")),
+    "trx_status_name": _f(lambda: [codecs.status_name(F.col("event_id") % 7).alias("status")]),
+    "expiration_to_string": _f(lambda: [codecs.expiration(F.col("event_id") * 99_991).alias("expires")]),
     "trx_prefix": _on(lambda h: h.transactions.select("trx_id", codecs.trx_prefix(F.col("trx_id")).alias("p")).select("trx_id", "p.*")),
-    "hex_codec": _f(F.lower(F.hex(F.col("event_type").cast("binary"))).alias("hexed"), F.unhex(F.hex(F.col("event_type").cast("binary"))).cast("string").alias("back")),
-    "block_to_slice": _f(codecs.block_to_slice(F.col("event_id") * 977).alias("slice")),
-    "slice_dir_name": _f(codecs.slice_name(codecs.block_to_slice(F.col("event_id") * 977)).alias("name")),
-    "query_fingerprint": _f(codecs.fingerprint_column(F.lit(ACCOUNT), F.col("event_type"), F.lit(""), F.lit(""), F.lit(""), F.lit("")).alias("print")),
+    "hex_codec": _f(lambda: [F.lower(F.hex(F.col("event_type").cast("binary"))).alias("hexed"), F.unhex(F.hex(F.col("event_type").cast("binary"))).cast("string").alias("back")]),
+    "block_to_slice": _f(lambda: [codecs.block_to_slice(F.col("event_id") * 977).alias("slice")]),
+    "slice_dir_name": _f(lambda: [codecs.slice_name(codecs.block_to_slice(F.col("event_id") * 977)).alias("name")]),
+    "query_fingerprint": _f(lambda: [codecs.fingerprint_column(F.lit(ACCOUNT), F.col("event_type"), F.lit(""), F.lit(""), F.lit(""), F.lit("")).alias("print")]),
     "family_key": _on(lambda h: canonical.roots(h.actions).select("global_seq", F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in canonical.FAMILY)), 256).alias("family"))),
-    "flex_int": _f(codecs.flex_int(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"'), F.col("event_id").cast("string"), F.lit('"'))).when(F.col("event_id") % 3 == 1, F.col("event_id").cast("string")).otherwise("x1")).alias("n")),
-    "human_format": _f(codecs.human(F.col("event_id") * 12_500).alias("shown")),
+    "flex_int": _f(lambda: [codecs.flex_int(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"'), F.col("event_id").cast("string"), F.lit('"'))).when(F.col("event_id") % 3 == 1, F.col("event_id").cast("string")).otherwise("x1")).alias("n")]),
+    "human_format": _f(lambda: [codecs.human(F.col("event_id") * 12_500).alias("shown")]),
     "ram_delta_explode": _on(lambda h: h.actions.select("global_seq", F.explode(F.transform("auths", lambda a: F.struct(a.alias("account"), F.col("quantity").alias("delta")))).alias("d")).select("global_seq", "d.*")),
     # streams
     "stream_catchup_contract_action": _on(lambda h: jobs.catch_up(h.actions, [CONTRACT], [ACTION, "view"])),

@@ -5,6 +5,7 @@ works on any store. A block holds
 
     shard, block        place in the order (shards are ranges of doc_id)
     start               ids of the shard before this block
+    width               bytes of a serialized id: 2 where the vocabulary allows, else 4
     dictionary_hash     first 16 hex digits of SHA-256 of the dictionary
     index               per document: doc_id (int64), null flag, end offset (uint32), ids (uint32)
     payload             the documents' zstandard frames one after the other
@@ -36,7 +37,11 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 32_768, 65_536
 BLOCK_BYTES = 4_000_000
 LEVEL = 1
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("end", "<u4"), ("n", "<u4")])
-BLOCKS = "shard int, block int, start long, dictionary_hash string, index binary, payload binary"
+BLOCKS = "shard int, block int, start long, width int, dictionary_hash string, index binary, payload binary"
+
+
+def width_of(tokenizer) -> int:
+    return 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
 
 
 def encoded(df: DataFrame, tokenizer: str, spaces: bool, end_id: int, dictionary: bytes = b"", cut: int = 0) -> DataFrame:
@@ -48,11 +53,17 @@ def encoded(df: DataFrame, tokenizer: str, spaces: bool, end_id: int, dictionary
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        ids_of = encoder(tokenizer, spaces).ids
-        shrink = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).compress
+        tokens = encoder(tokenizer, spaces)
+        ids_of, narrow = tokens.ids, width_of(tokens.tokenizer) == 2
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared:
+            shared.precompute_compress(level=LEVEL)
+        shrink = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared).compress
         for batch in batches:
             ids = [ids_of(t or "") + end for t in batch["text"].to_pylist()]
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
+            if narrow:
+                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
             yield pa.record_batch([batch["doc_id"], n, pa.array([x[:cut] if cut else shrink(x) for x in ids], pa.binary())], schema=out)
 
     session(df)
@@ -63,7 +74,8 @@ def train(df: DataFrame, tokenizer: str, spaces: bool, end_id: int) -> bytes:
     """A dictionary from the documents of least hash; b"" where too few ids exist to train one."""
     import zstandard
 
-    sample = df.select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.length("text"))).limit(SAMPLE_DOCS)
+    least = df.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS)
+    sample = df.select("doc_id", "text").join(F.broadcast(least.distinct()), "doc_id", "left_semi").limit(SAMPLE_DOCS)
     samples = [bytes(r.ids) for r in encoded(sample, tokenizer, spaces, end_id, cut=SAMPLE_BYTES).select("ids").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -80,6 +92,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, spaces: bool = True, end
     spark = df.sparkSession
     dictionary = train(df, tokenizer, spaces, end_id)
     digest = hashlib.sha256(dictionary).hexdigest()[:16]
+    width = width_of(encoder(tokenizer, spaces).tokenizer)
     spark.createDataFrame([(digest, dictionary)], "dictionary_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     rows = written(encoded(df, tokenizer, spaces, end_id, dictionary), "encoded")
     rows = rows.withColumn("_arrival", F.monotonically_increasing_id())
@@ -94,7 +107,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, spaces: bool = True, end
         held = ids = 0
 
         def flush() -> pa.RecordBatch:
-            values = [shard, block, start, digest, np.asarray(entries, ENTRY).tobytes(), b"".join(parts)]
+            values = [shard, block, start, width, digest, np.asarray(entries, ENTRY).tobytes(), b"".join(parts)]
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(values, out, strict=True)], schema=out)
 
         for batch in batches:
@@ -123,7 +136,7 @@ def read_ids(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame
         import zstandard
 
         for batch in batches:
-            for shard, start, digest, index, payload in zip(*(batch[c].to_pylist() for c in ("shard", "start", "dictionary_hash", "index", "payload")), strict=True):
+            for shard, start, width, digest, index, payload in zip(*(batch[c].to_pylist() for c in ("shard", "start", "width", "dictionary_hash", "index", "payload")), strict=True):
                 dictionary = stored[digest]
                 if hashlib.sha256(dictionary).hexdigest()[:16] != digest:
                     raise ValueError("dictionary does not match its hash")
@@ -132,6 +145,8 @@ def read_ids(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame
                 ends = entries["end"].tolist()
                 n = entries["n"].astype(np.int64)
                 ids = [grow(payload[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+                if width == 2:
+                    ids = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in ids]
                 if [len(x) // 4 for x in ids] != n.tolist():
                     raise ValueError("a document's ids do not match its index entry")
                 columns = [

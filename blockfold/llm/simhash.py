@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import arrow, partitions, session, table, written
 from .components import components
 from .golay import pair_keys
@@ -24,20 +25,28 @@ MOST_BITS = 4
 BLOCK = 50_000
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """SimHash of a text: a bit is set where over half of the shingles' XXH64 have it."""
+def shingles(text: str | None, words: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of `words` words of a text, in lower case; of the whole text where it has fewer."""
     from xxhash import xxh64_intdigest
 
     tokens = (text or "").encode().lower().split() if text else []
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     if len(tokens) < words:
-        return xxh64_intdigest(joined, seed)
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = len(tokens) - words + 1
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """SimHash of a text: a bit is set where over half of the shingles' XXH64 have it."""
+    hashes = shingles(text, words, seed)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 65_536):
         part = hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8)
@@ -135,9 +144,12 @@ def links(classes: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return found if extra is None else found.union(extra)
 
 
-def near_duplicates(df: DataFrame, words: int = 4, most: int = MOST_BITS) -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 4, most: int = MOST_BITS, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id of every row of df (doc_id, text), the latter the least doc_id that links reach.
 
+    With a similarity, all texts whose sets of shingles overlap by at least
+    that much (Jaccard) are linked too, however far apart their fingerprints
+    are (see `jaccard`).
     Documents without words have fingerprint 0 and link like any other. Rows
     with a null doc_id are linked, but never name a component unless all of
     its doc_ids are null. Repeated rows and doc_ids give a row each; other
@@ -145,7 +157,10 @@ def near_duplicates(df: DataFrame, words: int = 4, most: int = MOST_BITS) -> Dat
     """
     rows = written(fingerprints(df, words), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
-    roots = written(components(links(classes, most)), "roots")
+    found = links(classes, most)
+    if similarity is not None:
+        found = found.union(jaccard.links(df, words, similarity))
+    roots = written(components(found), "roots")
     classed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = written(classed.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
     named = written(classed.join(least, "root").select(F.col("fp").alias("class"), "component_id"), "named")

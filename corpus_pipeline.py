@@ -17,6 +17,8 @@ from blockfold.llm import decontamination, linededup, packing, quality, simhash
 from blockfold.llm.common import arrow, table, work_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Overlap of five-word shingles (Jaccard) from which documents are near-duplicates.
+SIMILARITY = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +34,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least doc_id stays."""
+    """Of each group of near-duplicates, linked by SimHash or by an overlap of at least SIMILARITY, the document of least doc_id stays."""
     docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs, words=5)
+    found = simhash.near_duplicates(docs, words=5, similarity=SIMILARITY)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

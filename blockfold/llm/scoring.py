@@ -2,19 +2,18 @@
 
 Training counts of tokens and of token pairs are gathered over all documents:
 chunks send distinct 64-bit (pairs: 40-bit) hashes with their counts to
-buckets, which add them up. A pair's count c is quantised to q = floor(log2 c);
-the filter holds the items (pair, 1) to (pair, q), so a pair found once needs
-no room. Buckets are ranges of hashes, and each is a stretch of the filter of
+buckets, which add them up. A pair's count c is quantised to q = 1 + floor(log2 c);
+the filter holds the items (pair, 1) to (pair, q), so a pair found once has one. Buckets are ranges of hashes, and each is a stretch of the filter of
 its own. The filter goes to all workers; where it would exceed MAX_FILTER
 bytes, it goes in parts of at most that size, one pass over the texts each.
 
 A pair's level is found by asking for (pair, 1), (pair, 2), ... until one is
 missing. The model interpolates
 
-    P(w | v) = LAMBDA * min(1, 2**q(v, w) / c(v)) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1)
+    P(w | v) = LAMBDA * min(1, 2**(q(v, w) - 1) / c(v)) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1)
 
-over the pair's level (none: 0) and the exact token counts; the first token
-follows a start symbol. Since 2**q is at most the count, the probabilities
+over the pair's level (no evidence without one) and the exact token counts; the first token
+follows a start symbol. Since 2**(q - 1) is at most the count, the probabilities
 after a token add up to one at most, but for the filter's false positives
 (2.4 % of unseen pairs at 8 bits an item).
 """
@@ -118,7 +117,7 @@ def item_bits(pair: np.ndarray, level: int, probe: int) -> np.ndarray:
 
 def make_filter(pairs: np.ndarray, counts: np.ndarray) -> bytes:
     """The stretch of the filter for a bucket's pairs."""
-    levels = np.frexp(counts.astype(np.float64))[1] - 1
+    levels = np.frexp(counts.astype(np.float64))[1]
     items = int(levels.sum())
     size = max(1, items * ITEM_BITS // 8 + 1)
     bits = np.zeros(size * 8, bool)
@@ -141,7 +140,13 @@ class Filter:
         self.bytes = np.frombuffer(b"".join(stretches[k] for k in sorted(stretches)), np.uint8)
 
     def levels(self, pairs: np.ndarray, found: np.ndarray) -> None:
-        """Raise `found` to the level of each pair that is in these stretches."""
+        """Raise `found` to floor(log2 count) of each pair that is in these stretches."""
+        own = np.zeros_like(found)
+        self.quantised(pairs, own)
+        np.maximum(found, np.maximum(own, 1) - 1, out=found)
+
+    def quantised(self, pairs: np.ndarray, found: np.ndarray) -> None:
+        """Raise `found` to the quantised count of each pair that is in these stretches."""
         bucket = bucket_of(pairs, self.buckets)
         left = np.flatnonzero(self.sizes[bucket] > 0)
         level = 1
@@ -231,7 +236,7 @@ def score(df: DataFrame, weight: float = LAMBDA, max_filter: int = MAX_FILTER) -
         def look_up(row: tuple, shared=shared, more=levels is not None) -> tuple[Tokens, np.ndarray]:
             t = Tokens(*row[1:5])
             level = np.frombuffer(row[6][0], np.uint8).copy() if more else np.zeros(len(t.at), np.uint8)
-            shared.value.levels(t.pairs(), level)
+            shared.value.quantised(t.pairs(), level)
             return t, level
 
         def raise_levels(batches: Iterator[pa.RecordBatch], look_up=look_up, sides=sides) -> Iterator[pa.RecordBatch]:
@@ -248,7 +253,7 @@ def score(df: DataFrame, weight: float = LAMBDA, max_filter: int = MAX_FILTER) -
                 before = np.empty(len(c), np.float64)
                 before[1:] = c[:-1]
                 before[t.starts] = c[t.starts + t.counts - 1]  # a document starts as often as it ends
-                seen = np.where(level > 0, np.minimum(1.0, np.exp2(level.astype(np.float64)) / np.maximum(before, 1.0)), 0.0)
+                seen = np.where(level > 0, np.minimum(1.0, np.exp2(level.astype(np.float64) - 1) / np.maximum(before, 1.0)), 0.0)
                 model = np.log10(weight * seen + (1 - weight) * base)
                 total = lambda x, t=t: np.add.reduceat(x, t.starts)
                 ids = pa.array(row[1].copy(), pa.int64(), mask=row[2])

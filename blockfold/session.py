@@ -1,8 +1,13 @@
-"""A session with the settings the engine expects."""
+"""A session with the settings the engine expects, and its work folders."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +21,24 @@ def session(master: str | None = None, shuffle_partitions: int = 8, name: str =
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir.
+
+    Where that is unset, a local session (as in tests) gets a temporary folder
+    that goes when Python ends; on a cluster it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = folder = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{_LOCAL[context.applicationId]}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

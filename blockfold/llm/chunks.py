@@ -10,17 +10,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, session, written
+from .common import arrow, small, written
 
 CHUNK_BYTES = 8_000_000
-CHUNKS = "chunk long, doc_ids binary, nulls binary, ends binary, data binary"
-#: Rows that hold a chunk go to Python so many at a time.
-CHUNK_ROWS = 2
+#: size: bytes of the texts.
+CHUNKS = "chunk long, size long, doc_ids binary, nulls binary, ends binary, data binary"
 
 
-def chunked(df: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
-    """df's doc_id and text (null: empty) as a written table of chunks of about `size` bytes, a longer document in one of its own."""
-    out = arrow(CHUNKS)
+def chunked(df: DataFrame, size: int | None = None) -> DataFrame:
+    """df's doc_id and text (null: empty) as a written table of chunks of about `size` (CHUNK_BYTES) bytes, a longer document in one of its own."""
+    out, size = arrow(CHUNKS), size or CHUNK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -34,6 +33,7 @@ def chunked(df: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
         def flush() -> pa.RecordBatch:
             values = [
                 part << 32 | number,
+                held,
                 np.array([i or 0 for i in ids], np.int64).tobytes(),
                 np.array([i is None for i in ids], np.uint8).tobytes(),
                 np.cumsum([len(t) for t in texts], dtype=np.int64).tobytes(),
@@ -41,7 +41,7 @@ def chunked(df: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
             ]
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(values, out, strict=True)], schema=out)
 
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 if ids and held + len(raw) > size:
@@ -53,17 +53,19 @@ def chunked(df: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
         if ids:
             yield flush()
 
-    spark = session(df)
-    table = written(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, CHUNKS), "chunks")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", CHUNK_ROWS)
-    return table
+    return written(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, CHUNKS), "chunks")
+
+
+def bytes_of(chunks: DataFrame) -> int:
+    """Bytes of all texts, however they were cut into chunks."""
+    return chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
 
 def opened(batches: Iterator[pa.RecordBatch], sides: tuple[str, ...] = ()) -> Iterator[tuple]:
     """chunk, doc_ids, nulls, ends, data of each row, then per side column its blobs joined."""
     import zstandard
 
-    for batch in batches:
+    for batch in small(batches, 1):
         for row in batch.to_pylist():
             data = zstandard.ZstdDecompressor().decompress(row["data"])
             yield (

@@ -2,38 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch may hold; documents are long, so fewer than Spark's 10,000.
-ARROW_ROWS = 1000
+from ..session import work_folder
 
+#: Rows of an Arrow batch that are handled at a time. Spark bounds a batch by bytes (64 MB).
+ARROW_ROWS = 1000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def session(df: DataFrame) -> SparkSession:
-    """The session of df, with Arrow batches short enough for long texts."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    return spark
+def small(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), under a temporary folder that is set as such."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+def fresh(df: DataFrame, *names: str) -> dict[str, str]:
+    """For each name one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = {}
+    for name in names:
+        own = f"_{name}"
+        while own.lower() in taken:
+            own += "_"
+        taken.add(own.lower())
+        out[name] = own
+    return out
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -64,32 +66,29 @@ def numbered(df: DataFrame, *by: str, name: str = "row") -> DataFrame:
     repeated many times gathers in a task. What is broadcast has a row per
     partition.
     """
-    order = [*by, "_arrival"]
+    own = fresh(df, "arrival", "place", "part", "base")
+    arrival, place, part, base = (own[k] for k in ("arrival", "place", "part", "base"))
+    order = [*by, arrival]
     placed = written(
-        df.withColumn("_arrival", F.monotonically_increasing_id())
+        df.withColumn(arrival, F.monotonically_increasing_id())
         .repartitionByRange(partitions(df.sparkSession), *order)
         .sortWithinPartitions(*order)
-        .drop("_arrival")
-        .withColumn("_place", F.monotonically_increasing_id()),
+        .drop(arrival)
+        .withColumn(place, F.monotonically_increasing_id()),
         "placed",
     )
-    part = F.shiftright("_place", 33)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    bases = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    number = F.shiftright(place, 33)
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(number.alias(part)).agg(F.count("*").alias("n"))
+    bases = counts.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
     return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(bases), "_part")
-        .withColumn(name, F.col("_base") + F.col("_place").bitwiseAND(2**33 - 1))
-        .drop("_part", "_base", "_place")
+        placed.withColumn(part, number)
+        .join(F.broadcast(bases), part)
+        .withColumn(name, F.col(base) + F.col(place).bitwiseAND(2**33 - 1))
+        .drop(part, base, place)
     )
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list[Any], ...]]:
-    for batch in batches:
-        yield tuple(batch.column(c).to_pylist() for c in columns)
-
-
 def arrow(schema: str) -> pa.Schema:
     """The Arrow schema of a DDL string."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -99,4 +98,4 @@ def arrow(schema: str) -> pa.Schema:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
-__all__ = ["ARROW_ROWS", "Query", "arrow", "id_key", "numbered", "partitions", "rows_of", "session", "table", "text_key", "work_folder", "written"]
+__all__ = ["ARROW_ROWS", "Query", "arrow", "fresh", "id_key", "numbered", "partitions", "small", "table", "text_key", "work_folder", "written"]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, session, table
+from .common import arrow, fresh, small, table, written
 from .fmindex import FMIndex
 
 WINDOW = 10
@@ -145,7 +145,7 @@ def _search(df: DataFrame, p: Phrases, extra: list[str]) -> DataFrame:
                 made = [pa.array(c, out.field(k + 1).type) for k, c in enumerate(columns)]
                 yield pa.record_batch([batch["doc_id"], *made, *(batch[c] for c in extra)], schema=out)
 
-        for batch in batches:
+        for batch in small(batches):
             for text in batch["text"].to_pylist():
                 words = words_of(text)
                 docs.append(np.fromiter(map(get, words), np.int64, len(words)))
@@ -156,7 +156,6 @@ def _search(df: DataFrame, p: Phrases, extra: list[str]) -> DataFrame:
                 held, docs, size = [], [], 0
         yield from flush()
 
-    session(df)
     extra = [c for c in extra if c != "doc_id"]
     keep = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c) for c in extra if c != "text")]
     return df.select(*keep).mapInArrow(run, schema)
@@ -168,33 +167,37 @@ def search(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, extra: tup
     Null, empty and wordless texts have no words and no hits; items without
     words have no windows, one without an id hits but is not listed. Repeated rows give a row each; of further columns
     those in `extra` are carried along. An empty benchmark hits nothing. The
-    benchmark is searched for in blocks of BLOCK_WORDS words; beyond one, the
-    blocks' results of a document are joined by a row number.
+    benchmark is searched for in blocks of some BLOCK_WORDS words (a longer item
+    is a block of its own), which go to the driver and the workers one at a
+    time; beyond one, the blocks' results of a document are joined by a row
+    number. A text of any length is one row in one shard.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    blocks: list[list[tuple[int, str | None]]] = [[]]
-    words = 0
-    for item_id, text in items.toLocalIterator():
-        n = len(words_of(text))
-        if words and words + n > BLOCK_WORDS:
-            blocks.append([])
-            words = 0
-        blocks[-1].append((item_id, text))
-        words += n
-    if len(blocks) == 1:
-        return _search(df, phrases(blocks[0], window), list(extra))
-    return _many(df, blocks, window, extra)
-
-
-def _many(df: DataFrame, blocks: list[list[tuple[int, str | None]]], window: int, extra: tuple[str, ...]) -> DataFrame:
-    from .common import written
-
-    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    parts = [written(_search(rows, phrases(b, window), ["_row"]).where(("n_hit > 0") if k else "true"), "hits") for k, b in enumerate(blocks)]
+    words = F.regexp_count(F.lower("text"), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"))
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).select("*", F.coalesce(words, F.lit(0)).alias("n"))
+    total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if total <= BLOCK_WORDS:
+        return _search(df, block_of(items, window), list(extra))
+    # dealt by hash, half full on average
+    n = -(-2 * total // BLOCK_WORDS)
+    number = F.when(F.col("n") > BLOCK_WORDS // 2, F.concat(F.lit("item "), F.xxhash64("item_id", "text").cast("string"))).otherwise(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("string"))
+    dealt = written(items.withColumn("block", number), "items")
+    names = [r[0] for r in dealt.select("block").distinct().orderBy("block").collect()]  # a row per block
+    return _many(df, [dealt.where(F.col("block") == x) for x in names], window, extra)
+
+
+def block_of(items: DataFrame, window: int) -> Phrases:
+    """The phrases of one block of items, of bounded size."""
+    return phrases([(r.item_id, r.text) for r in items.select("item_id", "text").collect()], window)
+
+
+def _many(df: DataFrame, blocks: list[DataFrame], window: int, extra: tuple[str, ...]) -> DataFrame:
+    own = fresh(df, "row")["row"]
+    rows = written(df.withColumn(own, F.monotonically_increasing_id()), "rows")
+    parts = [written(_search(rows, block_of(b, window), [own]).where(("n_hit > 0") if k else "true"), "hits") for k, b in enumerate(blocks)]
     every = parts[0]
     for part in parts[1:]:
         every = every.union(part)
-    merged = every.groupBy("_row").agg(
+    merged = every.groupBy(own).agg(
         F.first("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -202,7 +205,7 @@ def _many(df: DataFrame, blocks: list[list[tuple[int, str | None]]], window: int
     )
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             hits, spans = [], []
             for text, found in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
                 flag = np.zeros(0, bool)
@@ -219,7 +222,7 @@ def _many(df: DataFrame, blocks: list[list[tuple[int, str | None]]], window: int
 
     schema = SCHEMA + "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in extra)
     out = arrow(schema)
-    return merged.join(rows.drop("doc_id", "n_words", "items", "spans"), "_row").mapInArrow(union, schema)
+    return merged.join(rows.drop("doc_id", "n_words", "items", "spans"), own).mapInArrow(union, schema)
 
 
 def cut_spans(text: str | None, spans: list[dict]) -> str | None:

@@ -7,7 +7,7 @@ works on any store. A block holds
     start               ids of the shard before this block
     width               bytes of a serialized id: 2 where the vocabulary allows, else 4
     dictionary_hash     first 16 hex digits of SHA-256 of the dictionary
-    index               per document: doc_id (int64), null flag, end offset (uint32), ids (uint32)
+    index               per document: doc_id (int64), null flag, end offset (uint64), ids (uint64)
     payload             the documents' zstandard frames one after the other
 
 A short document is read by its index entry alone: one slice of the payload,
@@ -27,16 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, partitions, session, table, work_folder, written
+from .common import arrow, id_key, partitions, small, table, text_key, work_folder, written
 from .packing import tokenizer_path
 from .tokens import encoder
 
 END_ID = 2
-#: The dictionary's training sample (documents, bytes of each) and size.
+#: The dictionary's training sample (documents, bytes from the middle of each one's ids) and size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 32_768, 65_536
 BLOCK_BYTES = 4_000_000
 LEVEL = 1
-ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("end", "<u4"), ("n", "<u4")])
+ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("end", "<u8"), ("n", "<u8")])
 BLOCKS = "shard int, block int, start long, width int, dictionary_hash string, index binary, payload binary"
 
 
@@ -44,8 +44,13 @@ def width_of(tokenizer) -> int:
     return 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
 
 
+def middle(ids: bytes, size: int) -> bytes:
+    at = max(0, (len(ids) - size) // 2) // 4 * 4
+    return ids[at : at + size]
+
+
 def encoded(df: DataFrame, tokenizer: str, spaces: bool, end_id: int, dictionary: bytes = b"", cut: int = 0) -> DataFrame:
-    """doc_id, n, ids: serialized ids of each document with the end id; compressed if a dictionary is given, else cut to so many bytes."""
+    """doc_id, n, ids: serialized ids of each document with the end id; compressed if a dictionary is given, else `cut` bytes of their middle."""
     schema = "doc_id long, n long, ids binary"
     out = arrow(schema)
     end = np.asarray([end_id], "<u4").tobytes()
@@ -59,27 +64,29 @@ def encoded(df: DataFrame, tokenizer: str, spaces: bool, end_id: int, dictionary
         if shared:
             shared.precompute_compress(level=LEVEL)
         shrink = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared).compress
-        for batch in batches:
+        for batch in small(batches):
             ids = [ids_of(t or "") + end for t in batch["text"].to_pylist()]
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
             if narrow:
                 ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-            yield pa.record_batch([batch["doc_id"], n, pa.array([x[:cut] if cut else shrink(x) for x in ids], pa.binary())], schema=out)
+            yield pa.record_batch([batch["doc_id"], n, pa.array([middle(x, cut) if cut else shrink(x) for x in ids], pa.binary())], schema=out)
 
-    session(df)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, schema)
 
 
 def train(df: DataFrame, tokenizer: str, spaces: bool, end_id: int) -> bytes:
-    """A dictionary from the documents of least hash; b"" where too few ids exist to train one."""
+    """A dictionary from SAMPLE_DOCS documents of least hash (ties by text); b"" where the sample has too few ids for one of that size."""
     import zstandard
 
-    least = df.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS)
-    sample = df.select("doc_id", "text").join(F.broadcast(least.distinct()), "doc_id", "left_semi").limit(SAMPLE_DOCS)
-    samples = [bytes(r.ids) for r in encoded(sample, tokenizer, spaces, end_id, cut=SAMPLE_BYTES).select("ids").collect()]
+    keys = [id_key().alias("did"), text_key().alias("th")]
+    least = df.select(*keys).distinct().orderBy(F.xxhash64("did"), "did", "th").limit(SAMPLE_DOCS)  # bounded
+    rows = df.select("doc_id", "text", *keys).join(F.broadcast(least), ["did", "th"], "left_semi").dropDuplicates(["did", "th"])
+    samples = sorted(bytes(r.ids) for r in encoded(rows, tokenizer, spaces, end_id, cut=SAMPLE_BYTES).select("ids").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
+        if len(samples) >= SAMPLE_DOCS and sum(map(len, samples)) > 10 * DICTIONARY_BYTES:
+            raise  # not for want of ids
         return b""
 
 
@@ -87,7 +94,8 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, spaces: bool = True, end
     """Write the ids of df's documents (doc_id, text) to `path`, in ascending doc_id order, nulls first.
 
     Null and empty texts are the end id alone; rows with equal doc_id keep a
-    place each; other columns are ignored.
+    place each; other columns are ignored. A text of any length is one frame; a
+    block holds more than BLOCK_BYTES only for a single document.
     """
     spark = df.sparkSession
     dictionary = train(df, tokenizer, spaces, end_id)
@@ -110,7 +118,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, spaces: bool = True, end
             values = [shard, block, start, width, digest, np.asarray(entries, ENTRY).tobytes(), b"".join(parts)]
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(values, out, strict=True)], schema=out)
 
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, n, frame in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["ids"].to_pylist(), strict=True):
                 if held and held + len(frame) > BLOCK_BYTES:
                     yield flush()
@@ -135,7 +143,7 @@ def read_ids(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        for batch in batches:
+        for batch in small(batches, 1):
             for shard, start, width, digest, index, payload in zip(*(batch[c].to_pylist() for c in ("shard", "start", "width", "dictionary_hash", "index", "payload")), strict=True):
                 dictionary = stored[digest]
                 if hashlib.sha256(dictionary).hexdigest()[:16] != digest:
@@ -159,8 +167,6 @@ def read_ids(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame
                 ]
                 yield pa.record_batch(columns, schema=out)
 
-    session(blocks)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)  # a row is a block
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = blocks.mapInArrow(_totals, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n"))
     bases = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))  # a row per shard
@@ -168,7 +174,7 @@ def read_ids(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         n = [int(np.frombuffer(x, ENTRY)["n"].sum(dtype=np.int64)) for x in batch["index"].to_pylist()]
         yield pa.record_batch([batch["shard"], pa.array(n, pa.int64())], names=["shard", "n"])
 

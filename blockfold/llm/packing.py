@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, numbered, session, table, written
+from .common import arrow, numbered, small, table, written
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -102,7 +102,7 @@ def pieces_of(df: DataFrame, tokenizer: str, spaces: bool, capacity: int, end_id
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, spaces).ids
-        for batch in batches:
+        for batch in small(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = encode(text or "") + end
@@ -112,7 +112,6 @@ def pieces_of(df: DataFrame, tokenizer: str, spaces: bool, capacity: int, end_id
             columns = zip(*rows, strict=True) if rows else [[]] * len(out)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
-    session(df)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
 
 
@@ -140,7 +139,7 @@ def pack(df: DataFrame, tokenizer: str, spaces: bool = False, capacity: int = CA
         for k, v in p.base.items():
             bases[k] = v
         starts = bases[p.length] + p.rank  # rows in length order: runs lie one after the other
-        for batch in batches:
+        for batch in small(batches):
             row = batch["_row"].to_numpy()
             run = np.searchsorted(starts, row, "right") - 1
             sequence = p.sequence[run] + (row - starts[run])

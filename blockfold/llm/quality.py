@@ -2,17 +2,18 @@
 
 A document is compared with the reference of its language by Jensen-Shannon
 distance, over two histograms: character classes, and the language's common
-words against all other words. The references are the pooled counts of all
-documents of the language that pass the base rules; a language with few
-documents, or none named, uses the pool of all. Documents too short for a
-distribution are not judged by it.
+words against all other words. Common words are the SLOTS most frequent ones,
+in lower case, of all documents of the language; the references are the pooled
+counts of its documents that pass the base rules. Every language has its own,
+whatever its size; documents without a language have one together. Documents
+too short for a distribution are not judged by it.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -20,19 +21,11 @@ from .common import table, written
 WHITE = " \t\n\x0b\x0c\r"
 #: Character classes: white space, lower-case ASCII letters, those with a pattern of what does not belong to them, and all other ASCII.
 PATTERNS = {"upper": "[^A-Z]+", "digit": "[^0-9]+", "symbol": r"[^#*$%&|<>]+", "other": r"[\x00-\x7F]+"}
-#: Common words of a language (fixed values: its most frequent function words).
-COMMON = {
-    "de": ("der", "die", "und", "den", "von", "zu", "das", "mit", "ist", "im"),
-    "en": ("the", "of", "and", "to", "in", "a", "is", "that", "it", "for"),
-    "es": ("de", "la", "que", "el", "en", "y", "los", "se", "del", "las"),
-    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "que"),
-}
+#: Common words of a language.
 SLOTS = 10
 #: For each histogram, words below which a document is not judged by it and the distance above which it is rejected.
 MIN_CHAR_WORDS, MAX_CHAR_DISTANCE = 50, 0.25
 MIN_WORD_WORDS, MAX_WORD_DISTANCE = 100, 0.25
-#: Documents that a language needs for a reference of its own.
-MIN_DOCS = 20
 #: Languages up to which the references are broadcast.
 MAX_BROADCAST = 10_000
 
@@ -40,25 +33,42 @@ COUNTS = [f"c_{c}" for c in ("white", "lower", *PATTERNS, "punct")]
 WORD_COUNTS = [*(f"w_{i}" for i in range(SLOTS)), "w_rest"]
 
 
+def words_of(core: Column) -> Column:
+    """The words of a text without white space around it."""
+    return F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, r"[\x20\x09-\x0D]+"))
+
+
+def common_words(df: DataFrame) -> DataFrame:
+    """_ref, _common: each language's SLOTS most frequent words (ties: least first) in df (_lang, _text).
+
+    Counts are added up before the shuffle, and each partition sends SLOTS
+    words of a language to the ranking at most.
+    """
+    each = df.select("_lang", F.explode(words_of(F.lower(F.trim("_text", F.lit(WHITE))))).alias("_word"))
+    counts = each.groupBy("_lang", "_word").agg(F.count("*").alias("_n"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("_n"), "_word"))
+    top = counts.withColumn("_i", rank).where(F.col("_i") <= SLOTS)
+    listed = F.array_sort(F.collect_list(F.struct("_i", "_word")))
+    return top.groupBy(F.col("_lang").alias("_ref")).agg(F.transform(listed, lambda x: x["_word"]).alias("_common"))
+
+
 def features(df: DataFrame, window: int = 5) -> DataFrame:
-    """df's columns with base counts and histograms of its texts: native, in one pass.
+    """_row and _lang of df (_row, _lang, _text, _common) with base counts and histograms of its texts: native, in one pass.
 
     Each select uses the columns of the one before more than once, so that
     they are computed once and not put into each other.
     """
-    keep = df.columns
-    lang = F.lower(F.col("lang")) if "lang" in keep else F.lit(None).cast("string")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = df.select(*keep, text.alias("_text"), F.trim(text, F.lit(WHITE)).alias("_core"), F.coalesce(lang, F.lit("")).alias("_lang"))
+    keep = ["_row", "_lang"]
+    out = df.select(*keep, "_common", "_text", F.trim("_text", F.lit(WHITE)).alias("_core"))
     out = out.select(
         *keep,
-        "_lang",
+        "_common",
         F.length("_text").cast("long").alias("_chars"),
-        F.when(F.col("_core") == "", F.array().cast("array<string>")).otherwise(F.split("_core", r"[\x20\x09-\x0D]+")).alias("_words"),
+        words_of(F.col("_core")).alias("_words"),
         F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
     )
     out = out.select("*", F.array_join("_words", "").alias("_joined"))
-    out = out.select(*keep, "_lang", "_chars", "_words", "_lines", F.length("_joined").cast("long").alias("word_chars"), F.regexp_replace("_joined", "[a-z]+", "").alias("_rest"))
+    out = out.select(*keep, "_common", "_chars", "_words", "_lines", F.length("_joined").cast("long").alias("word_chars"), F.regexp_replace("_joined", "[a-z]+", "").alias("_rest"))
     out = out.select("*", F.length("_rest").cast("long").alias("_left"), *(F.length(F.regexp_replace("_rest", p, "")).cast("long").alias(f"c_{c}") for c, p in PATTERNS.items()))
 
     # windows: a hash each; where some repeat, sorted beside their places, and the places' reach added up
@@ -68,7 +78,7 @@ def features(df: DataFrame, window: int = 5) -> DataFrame:
     last = F.size("_words") - window
     out = out.select(
         *keep,
-        "_lang",
+        "_common",
         (F.col("_chars") - F.col("word_chars")).alias("c_white"),
         (F.col("word_chars") - F.col("_left")).alias("c_lower"),
         *(f"c_{c}" for c in PATTERNS),
@@ -85,13 +95,11 @@ def features(df: DataFrame, window: int = 5) -> DataFrame:
     same = F.size(F.array_distinct("_grams")) == F.size("_grams")
     slots = []
     for i in range(SLOTS):
-        taken = F.lit(0)
-        for name, words in COMMON.items():
-            gone = F.length("_spaced") - F.length(F.replace("_spaced", F.lit(f" {words[i]} "), F.lit("")))
-            taken = F.when(F.col("_lang") == name, F.floor(gone / (len(words[i]) + 2))).otherwise(taken)
-        slots.append(taken.cast("long").alias(f"w_{i}"))
+        word = F.get("_common", F.lit(i))
+        gone = F.length("_spaced") - F.length(F.replace("_spaced", F.concat(F.lit(" "), word, F.lit(" ")), F.lit("")))
+        slots.append(F.coalesce(F.floor(gone / (F.length(word) + 2)), F.lit(0)).cast("long").alias(f"w_{i}"))
     pairs = F.array_sort(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.select(*keep, "_lang", *found, *slots, F.when(~same, pairs).alias("_pairs"))
+    out = out.select(*keep, *found, *slots, F.when(~same, pairs).alias("_pairs"))
 
     def differs(p: Column, j: Column) -> Column:
         other = F.get("_pairs", j)["h"]
@@ -99,10 +107,10 @@ def features(df: DataFrame, window: int = 5) -> DataFrame:
 
     twice = F.filter("_pairs", lambda p, j: ~(differs(p, j - 1) & differs(p, j + 1)))
     rest = F.col("n_words") - reduce(lambda a, b: a + b, (F.col(f"w_{i}") for i in range(SLOTS)))
-    out = out.select(*keep, "_lang", *found, *WORD_COUNTS[:-1], rest.alias("w_rest"), F.array_sort(F.transform(twice, lambda p: p["i"])).alias("_starts"))
+    out = out.select(*keep, *found, *WORD_COUNTS[:-1], rest.alias("w_rest"), F.array_sort(F.transform(twice, lambda p: p["i"])).alias("_starts"))
     reach = F.transform("_starts", lambda s, k: F.least(F.lit(window), F.coalesce(F.get("_starts", k + 1), s + window) - s).cast("long"))
     covered = F.coalesce(F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
-    out = out.select(*keep, "_lang", *found, *WORD_COUNTS, covered.alias("n_repeat_words"))
+    out = out.select(*keep, *found, *WORD_COUNTS, covered.alias("n_repeat_words"))
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
@@ -120,37 +128,45 @@ def distance(own: Column, reference: Column) -> Column:
     return F.when((total(own) > 0) & (total(reference) > 0), F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(0.0)
 
 
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
+
+
 def judge(df: DataFrame, keep_text: bool = True) -> DataFrame:
     """df with base counts, base_failed, char_distance, word_distance and kept.
 
     A null text has no words and fails; language names are matched without
-    case; a null or unknown language is compared with the pool of all
-    documents, and by character classes alone. Rows are judged one by one, so
-    repeated rows fare alike. An empty table stays empty. Columns of df that
-    bear a result's name are replaced; the text itself is dropped unless kept.
+    case; a null one is a language of its own, and so is every name, however
+    few documents have it. Rows are judged one by one, so repeated rows fare
+    alike; ties among common words go to the least. A text of any length is one
+    row and takes memory in proportion to its words. An empty table stays
+    empty. Columns of df that bear a result's name are replaced, all others
+    stay; the text itself is dropped unless kept.
     """
-    names = ["_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *COUNTS, *WORD_COUNTS, "base_failed", "char_distance", "word_distance", "kept"]
-    rows = features(df.drop(*names))
-    rows = written(rows if keep_text else rows.drop("text"), "features")
-    every = [*COUNTS, *WORD_COUNTS]
-    sums = [F.sum(c).alias(f"r_{c}") for c in every]
-    references = written(rows.where(~F.col("base_failed")).groupBy("_lang").agg(F.count("*").alias("docs"), *sums), "references")
-    pool = references.agg(*(F.sum(f"r_{c}").alias(c) for c in every)).first()
-    own = references.where(F.col("docs") >= MIN_DOCS).withColumnRenamed("_lang", "_ref")
-    if references.count() <= MAX_BROADCAST:
-        own = F.broadcast(own)
-    out = rows.join(own, F.col("_lang") == F.col("_ref"), "left")
-    kept = [c for c in rows.columns if c not in (*every, "_lang")]
-    known = F.col("_lang").isin(*COMMON) & F.col("_ref").isNotNull()
+    keep = [c for c in df.columns if c not in RESULTS and (keep_text or c != "text")]
+    lang = F.lower(F.col("lang").cast("string")) if "lang" in df.columns else F.lit(None).cast("string")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # df's own columns travel in one, so that no name of theirs can clash
+    rows = df.select((F.struct(*keep) if keep else F.struct(F.lit(0).alias("_"))).alias("_row"), F.coalesce(lang, F.lit("")).alias("_lang"), text.alias("_text"))
+
+    def with_lang(left: DataFrame, right: DataFrame) -> DataFrame:
+        """left with the row of right of its language; a row per language is broadcast up to MAX_BROADCAST of them."""
+        right = F.broadcast(right) if right.count() <= MAX_BROADCAST else right
+        return left.join(right, F.col("_lang") == F.col("_ref"), "left")
+
+    found = written(features(with_lang(rows, written(common_words(rows), "common"))), "features")
+    sums = [F.sum(c).alias(f"r_{c}") for c in (*COUNTS, *WORD_COUNTS)]
+    references = written(found.where(~F.col("base_failed")).groupBy(F.col("_lang").alias("_ref")).agg(*sums), "references")
 
     def compared(names: list[str]) -> Column:
-        refs = [F.coalesce(f"r_{c}", F.lit(pool[c] or 0).cast("long")).cast("double") for c in names]
+        refs = [F.coalesce(f"r_{c}", F.lit(0).cast("long")).cast("double") for c in names]
         return distance(F.array(*(F.col(c).cast("double") for c in names)), F.array(*refs))
 
-    out = out.select(*kept, compared(COUNTS).alias("char_distance"), F.when(known, compared(WORD_COUNTS)).otherwise(0.0).alias("word_distance"))
+    out = with_lang(found, references).select("_row", *RESULTS[:6], compared(COUNTS).alias("char_distance"), compared(WORD_COUNTS).alias("word_distance"))
     fits = (F.col("n_words") < MIN_CHAR_WORDS) | (F.col("char_distance") <= MAX_CHAR_DISTANCE)
     fits = fits & ((F.col("n_words") < MIN_WORD_WORDS) | (F.col("word_distance") <= MAX_WORD_DISTANCE))
-    return out.withColumn("kept", ~F.col("base_failed") & fits)
+    out = out.withColumn("kept", ~F.col("base_failed") & fits)
+    own = [F.col("_row").getField(c).alias(c) for c in keep]
+    return out.select(*own, *RESULTS)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,12 +179,11 @@ def oracle() -> str:
     own = {"white": r"[^\x20\x09-\x0D]+", "lower": "[^a-z]+", **PATTERNS}
     classes = ", ".join(f"length(regexp_replace(t, '{p}', '', 'g')) AS c_{c}" for c, p in own.items())
     rest = " - ".join(["length(t)", *(f"c_{c}" for c in own)])
-    slots = ", ".join("CASE lang " + " ".join(f"WHEN '{k}' THEN len(list_filter(lw, lambda x: x = '{v[i]}'))" for k, v in COMMON.items()) + f" ELSE 0 END AS w_{i}" for i in range(SLOTS))
+    slots = ", ".join(f"len(list_filter(lw, lambda x: x = c[{i + 1}])) AS w_{i}" for i in range(SLOTS))
     w_rest = " - ".join(["n_words", *(f"w_{i}" for i in range(SLOTS))])
     every = [*COUNTS, *WORD_COUNTS]
     sums = ", ".join(f"sum({c}) AS r_{c}" for c in every)
-    pool = ", ".join(f"sum(r_{c}) AS r_{c}" for c in every)
-    refs = ", ".join(f"coalesce(o.r_{c}, p.r_{c}) AS r_{c}" for c in every)
+    refs = ", ".join(f"coalesce(o.r_{c}, 0) AS r_{c}" for c in every)
 
     def js(names: list[str]) -> str:
         m, n = (" + ".join(f"{x}{c}" for c in names) for x in ("", "r_"))
@@ -178,7 +193,6 @@ def oracle() -> str:
             terms += [f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END" for x in (p, q)]
         return f"(SELECT CASE WHEN m > 0 AND n > 0 THEN sqrt(greatest(({' + '.join(terms)}) / 2, 0)) ELSE 0 END FROM (SELECT ({m})::DOUBLE AS m, ({n})::DOUBLE AS n))"
 
-    known = ", ".join(f"'{k}'" for k in COMMON)
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(lang, '')) AS lang FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
@@ -187,11 +201,14 @@ again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g
 covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS i FROM again) GROUP BY doc_id),
 f AS (SELECT w.doc_id, lang, t, len(w) AS n_words, list_transform(w, lambda x: lower(x)) AS lw, {classes},
   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id)),
-g AS (SELECT *, {rest} AS c_punct, {slots}, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+ranked AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS i FROM (
+  SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(lw) AS word FROM f) GROUP BY lang, word)),
+common AS (SELECT lang, list(word ORDER BY i) AS c FROM ranked WHERE i <= {SLOTS} GROUP BY lang),
+fc AS (SELECT f.*, c FROM f LEFT JOIN common ON f.lang = common.lang),
+g AS (SELECT *, {rest} AS c_punct, {slots}, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM fc),
 h AS (SELECT *, {w_rest} AS w_rest FROM g),
-o AS (SELECT lang, count(*) AS docs, {sums} FROM h WHERE NOT base_failed GROUP BY lang),
-p AS (SELECT {pool} FROM o),
-j AS (SELECT h.*, o.lang IS NOT NULL AND h.lang IN ({known}) AS known, {refs} FROM h CROSS JOIN p LEFT JOIN (SELECT * FROM o WHERE docs >= {MIN_DOCS}) o ON h.lang = o.lang)
+o AS (SELECT lang, {sums} FROM h WHERE NOT base_failed GROUP BY lang),
+j AS (SELECT h.*, {refs} FROM h LEFT JOIN o ON h.lang = o.lang)
 SELECT doc_id, n_words, (length(t) - c_white)::BIGINT AS word_chars, c_symbol::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND (n_words < {MIN_CHAR_WORDS} OR {js(COUNTS)} <= {MAX_CHAR_DISTANCE}) AND (n_words < {MIN_WORD_WORDS} OR NOT known OR {js(WORD_COUNTS)} <= {MAX_WORD_DISTANCE}) AS kept
+  NOT base_failed AND (n_words < {MIN_CHAR_WORDS} OR {js(COUNTS)} <= {MAX_CHAR_DISTANCE}) AND (n_words < {MIN_WORD_WORDS} OR {js(WORD_COUNTS)} <= {MAX_WORD_DISTANCE}) AS kept
 FROM j"""

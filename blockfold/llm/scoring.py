@@ -3,19 +3,28 @@
 Training counts of tokens and of token pairs are gathered over all documents:
 chunks send distinct 64-bit (pairs: 40-bit) hashes with their counts to
 buckets, which add them up. A pair's count c is quantised to q = 1 + floor(log2 c);
-the filter holds the items (pair, 1) to (pair, q), so a pair found once has one. Buckets are ranges of hashes, and each is a stretch of the filter of
-its own. The filter goes to all workers; where it would exceed MAX_FILTER
-bytes, it goes in parts of at most that size, one pass over the texts each.
+the filter holds the items (pair, 1) to (pair, q), so a pair found once has one.
+Buckets are ranges of hashes, and each is a stretch of the filter of its own.
+Their number follows from the bytes of all texts and a stretch's size from the
+counts, so the filter, false positives included, and the scores depend on the
+data alone and not on how they are partitioned.
+
+The filter is broadcast to all workers if it has at most MAX_FILTER bytes.
+Beyond that, each chunk's distinct pairs are sent to the stretches of their
+hashes and the levels back: a constant number of passes whatever the corpus,
+with the same answers.
 
 A pair's level is found by asking for (pair, 1), (pair, 2), ... until one is
 missing. The model interpolates
 
-    P(w | v) = LAMBDA * min(1, 2**(q(v, w) - 1) / c(v)) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1)
+    P(w | v) = LAMBDA * min(1, m(q(v, w)) / c(v)) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1)
 
-over the pair's level (no evidence without one) and the exact token counts; the first token
-follows a start symbol. Since 2**(q - 1) is at most the count, the probabilities
-after a token add up to one at most, but for the filter's false positives
-(2.4 % of unseen pairs at 8 bits an item).
+where m(q) is the mean count of all training pairs of level q (0 without one),
+so that what quantising takes from some pairs it gives to others, and over all
+contexts the mass of the pairs is what was counted. The first token follows a
+start symbol, which stands as often as there are training documents. After a
+token that training does not know, P is the second fraction alone. False
+positives (2.4 % of unseen pairs at 8 bits an item) only raise scores.
 """
 
 from __future__ import annotations
@@ -28,20 +37,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import chunked, opened, with_side
-from .common import arrow, partitions, table, written
+from .chunks import bytes_of, chunked, opened, with_side
+from .common import arrow, table, written
 from .suffixdedup import _batch, _blobs, _table, mixed
 
 LAMBDA = 0.2
 MAX_FILTER = 64_000_000
 ITEM_BITS, PROBES = 8, 4
-BUCKET_BYTES = 32_000_000
+#: Stretches at least, and bytes of text for each where there are more.
+LEAST_BUCKETS, BUCKET_BYTES = 64, 16_000_000
 PAIR_BITS = 40
 #: Training documents: those whose CRC-32 of doc_id as text leaves another remainder.
 FOLDS, HELD_OUT = 7, 2
 BLOBS = "kind int, bucket int, chunk long, body binary"
 FOUND = "kind int, bucket int, chunk long, body binary, n long, v long"
-TOKENS, PAIRS = 0, 1
+TOKENS, PAIRS, LEVELS = 0, 1, 2
 START = np.uint64(0x5BD1E9955BD1E995)
 
 
@@ -115,9 +125,14 @@ def item_bits(pair: np.ndarray, level: int, probe: int) -> np.ndarray:
     return mixed(pair + np.uint64((level * PROBES + probe + 1) * 0x9E3779B97F4A7C15 % 2**64))
 
 
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """1 + floor(log2 count)."""
+    return np.frexp(counts.astype(np.float64))[1]
+
+
 def make_filter(pairs: np.ndarray, counts: np.ndarray) -> bytes:
     """The stretch of the filter for a bucket's pairs."""
-    levels = np.frexp(counts.astype(np.float64))[1]
+    levels = levels_of(counts)
     items = int(levels.sum())
     size = max(1, items * ITEM_BITS // 8 + 1)
     bits = np.zeros(size * 8, bool)
@@ -139,12 +154,6 @@ class Filter:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(stretches[k] for k in sorted(stretches)), np.uint8)
 
-    def levels(self, pairs: np.ndarray, found: np.ndarray) -> None:
-        """Raise `found` to floor(log2 count) of each pair that is in these stretches."""
-        own = np.zeros_like(found)
-        self.quantised(pairs, own)
-        np.maximum(found, np.maximum(own, 1) - 1, out=found)
-
     def quantised(self, pairs: np.ndarray, found: np.ndarray) -> None:
         """Raise `found` to the quantised count of each pair that is in these stretches."""
         bucket = bucket_of(pairs, self.buckets)
@@ -164,14 +173,17 @@ def bucket_of(pairs: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def gather(group: pa.Table) -> list[tuple]:
-    """One bucket: added-up counts, answered to each chunk (tokens) or made a stretch of the filter (pairs)."""
+    """One bucket: added-up counts, answered to each chunk (tokens) or made a stretch of the filter (pairs), with sums and numbers of counts by level."""
     kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
     bodies, chunks = group["body"].to_pylist(), group["chunk"].to_pylist()
     if kind == PAIRS:
         parts = [unpack_sorted(b) for b in bodies]
         pairs, of = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
         counts = np.bincount(of, np.concatenate([n for _, n in parts])).astype(np.int64)
-        return [(kind, bucket, -1, make_filter(pairs, counts), 0, 0)]
+        levels = levels_of(counts)
+        sums, pairs_of = np.bincount(levels, counts), np.bincount(levels)
+        out = [(LEVELS, bucket, k, b"", int(sums[k]), int(pairs_of[k])) for k in range(1, len(sums)) if pairs_of[k]]
+        return [(kind, bucket, -1, make_filter(pairs, counts), 0, 0), *out]
     sizes = [len(b) // 16 for b in bodies]
     hashes = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(bodies, sizes, strict=True)])
     counts = np.concatenate([np.frombuffer(b, np.int64, n, 8 * n) for b, n in zip(bodies, sizes, strict=True)])
@@ -189,12 +201,13 @@ def score(df: DataFrame, weight: float = LAMBDA, max_filter: int = MAX_FILTER) -
 
     A null or empty text is the end token alone; other columns are ignored;
     repeated rows are learned from as often as they stand there and get a row
-    each. An empty table gives an empty result. Token hashes have 64 bits.
+    each. A text of any length is one chunk's row and takes memory in
+    proportion to its tokens. An empty table gives an empty result. Token
+    hashes have 64 bits.
     """
     spark = df.sparkSession
     chunks = chunked(df)
-    total = chunks.agg(F.sum(F.expr("cast(length(data) as long)"))).first()[0] or 0
-    buckets = max(partitions(spark), 3 * total // BUCKET_BYTES)
+    buckets = max(LEAST_BUCKETS, -(-bytes_of(chunks) // BUCKET_BYTES))
     blob_out, found_out = arrow(BLOBS), arrow(FOUND)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,60 +225,75 @@ def score(df: DataFrame, weight: float = LAMBDA, max_filter: int = MAX_FILTER) -
         return _table(gather(group), found_out)
 
     found = written(chunks.mapInArrow(count, BLOBS).groupBy("kind", "bucket").applyInArrow(gathered, FOUND), "counts")
-    train, vocabulary = found.where(F.col("chunk") == -1).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    sizes = found.where(F.col("kind") == PAIRS).select("bucket", F.length("body").alias("size")).orderBy("bucket").collect()  # a row per bucket
-    passes: list[list[int]] = [[]]
-    held = 0
-    for r in sizes:
-        if passes[-1] and held + r.size > max_filter:
-            passes.append([])
-            held = 0
-        passes[-1].append(r.bucket)
-        held += r.size
-
-    sided = with_side(chunks, found.where((F.col("kind") == TOKENS) & (F.col("chunk") >= 0)), "counts")
+    own_rows = found.where((F.col("kind") == TOKENS) & (F.col("chunk") == -1))
+    train, vocabulary = own_rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    means = np.zeros(65)
+    for r in found.where(F.col("kind") == LEVELS).groupBy("chunk").agg(F.sum("n"), F.sum("v")).collect():  # a row per level
+        means[r[0]] = r[1] / r[2]
+    means = np.maximum.accumulate(means)  # means rise with levels; one that only false positives reach counts as the one below
+    stretches = found.where(F.col("kind") == PAIRS).select("bucket", "body")
+    size = stretches.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
+    source = with_side(chunks, found.where((F.col("kind") == TOKENS) & (F.col("chunk") >= 0)), "counts")
+    if size <= max_filter:
+        shared = spark.sparkContext.broadcast(Filter({r.bucket: bytes(r.body) for r in stretches.collect()}, buckets))  # at most max_filter bytes
+    else:
+        shared = None
+        source = with_side(source, asked(chunks, stretches, buckets), "answers")
+
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out, level_out = arrow(schema), arrow("chunk long, body binary")
-    levels = None
-    for last, own in ((p is passes[-1], p) for p in passes):
-        rows = found.where((F.col("kind") == PAIRS) & F.col("bucket").isin(own)).select("bucket", "body").collect()
-        shared = spark.sparkContext.broadcast(Filter({r.bucket: bytes(r.body) for r in rows}, buckets))  # at most max_filter bytes, or one bucket
-        source = sided if levels is None else with_side(sided, levels, "levels")
-        sides = ("counts",) if levels is None else ("counts", "levels")
-
-        def look_up(row: tuple, shared=shared, more=levels is not None) -> tuple[Tokens, np.ndarray]:
+    out = arrow(schema)
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in opened(batches, ("counts",) if shared else ("counts", "answers")):
             t = Tokens(*row[1:5])
-            level = np.frombuffer(row[6][0], np.uint8).copy() if more else np.zeros(len(t.at), np.uint8)
-            shared.value.quantised(t.pairs(), level)
-            return t, level
-
-        def raise_levels(batches: Iterator[pa.RecordBatch], look_up=look_up, sides=sides) -> Iterator[pa.RecordBatch]:
-            for row in opened(batches, sides):
-                yield _batch([(row[0], look_up(row)[1].tobytes())], level_out)
-
-        def final(batches: Iterator[pa.RecordBatch], look_up=look_up, sides=sides) -> Iterator[pa.RecordBatch]:
-            for row in opened(batches, sides):
-                t, level = look_up(row)
-                sent = [(np.frombuffer(b, np.uint64, len(b) // 16), np.frombuffer(b, np.int64, len(b) // 16, len(b) // 2)) for b in row[5]]
-                hashes = np.concatenate([h for h, _ in sent])
-                c = np.concatenate([n for _, n in sent])[np.argsort(hashes)][t.at]
-                base = (c + 1.0) / (train + vocabulary + 1.0)
-                before = np.empty(len(c), np.float64)
-                before[1:] = c[:-1]
-                before[t.starts] = c[t.starts + t.counts - 1]  # a document starts as often as it ends
-                seen = np.where(level > 0, np.minimum(1.0, np.exp2(level.astype(np.float64) - 1) / np.maximum(before, 1.0)), 0.0)
-                model = np.log10(weight * seen + (1 - weight) * base)
-                total = lambda x, t=t: np.add.reduceat(x, t.starts)
-                ids = pa.array(row[1].copy(), pa.int64(), mask=row[2])
-                yield pa.record_batch(
-                    [ids, pa.array(t.held), pa.array(t.counts), pa.array(total((c > 0).astype(np.int64))), pa.array(np.full(len(t.counts), train, np.int64)), pa.array(total(np.log10(base))), pa.array(total(model))],
-                    schema=out,
-                )
-
-        if last:
-            return source.mapInArrow(final, schema)
-        levels = written(source.mapInArrow(raise_levels, "chunk long, body binary"), "levels")
-    raise AssertionError("there is at least one pass")
+            level = np.zeros(len(t.at), np.int64)
+            if shared:
+                shared.value.quantised(t.pairs(), level)
+            else:
+                _, place = np.unique(t.pairs(), return_inverse=True)
+                level += np.concatenate([np.frombuffer(b, np.uint8, offset=4) for b in sorted(row[6])])[place]
+            sent = [(np.frombuffer(b, np.uint64, len(b) // 16), np.frombuffer(b, np.int64, len(b) // 16, len(b) // 2)) for b in row[5]]
+            hashes = np.concatenate([h for h, _ in sent])
+            c = np.concatenate([n for _, n in sent])[np.argsort(hashes)][t.at]
+            base = (c + 1.0) / (train + vocabulary + 1.0)
+            before = np.empty(len(c), np.float64)
+            before[1:] = c[:-1]
+            before[t.starts] = c[t.starts + t.counts - 1]  # a document starts as often as it ends
+            seen = np.minimum(1.0, means[level] / np.maximum(before, 1.0))
+            model = np.log10(np.where(before > 0, weight * seen + (1 - weight) * base, base))
+            total = lambda x, t=t: np.add.reduceat(x, t.starts)
+            ids = pa.array(row[1].copy(), pa.int64(), mask=row[2])
+            yield pa.record_batch(
+                [ids, pa.array(t.held), pa.array(t.counts), pa.array(total((c > 0).astype(np.int64))), pa.array(np.full(len(t.counts), train, np.int64)), pa.array(total(np.log10(base))), pa.array(total(model))],
+                schema=out,
+            )
+
+    return source.mapInArrow(final, schema)
+
+
+def asked(chunks: DataFrame, stretches: DataFrame, buckets: int) -> DataFrame:
+    """chunk, body: per chunk and bucket the levels of the chunk's distinct pairs in ascending order, behind the bucket's number (big-endian)."""
+    question_out, answer_out = arrow("bucket int, chunk long, body binary"), arrow("chunk long, body binary")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, doc_ids, nulls, ends, data in opened(batches):
+            pairs = np.unique(Tokens(doc_ids, nulls, ends, data).pairs())
+            cuts = np.searchsorted(bucket_of(pairs, buckets), np.arange(buckets + 1)).tolist()
+            yield _batch([(k, chunk, pack_sorted(pairs[a:b], np.zeros(b - a, np.int64))) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a], question_out)
+
+    def answer(questions: pa.Table, stretch: pa.Table) -> pa.Table:
+        rows = []
+        bits = {k: bytes(b) for k, b in zip(stretch["bucket"].to_pylist(), stretch["body"].to_pylist(), strict=True)}
+        filter_ = Filter(bits, buckets)
+        for bucket, chunk, body in zip(*(questions[c].to_pylist() for c in ("bucket", "chunk", "body")), strict=True):
+            pairs, _ = unpack_sorted(body)
+            level = np.zeros(len(pairs), np.uint8)
+            filter_.quantised(pairs, level)
+            rows.append((chunk, bucket.to_bytes(4, "big") + level.tobytes()))
+        return _table(rows, answer_out)
+
+    questions = chunks.mapInArrow(ask, "bucket int, chunk long, body binary")
+    return written(questions.groupBy("bucket").cogroup(stretches.groupBy("bucket")).applyInArrow(answer, "chunk long, body binary"), "answers")
 
 
 def op5_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

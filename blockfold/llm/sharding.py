@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, table
+from .common import fresh, numbered, table
 
 #: Primes just under 2**31: products of two residues stay within 63 bits.
 P1, P2 = 2147483647, 2147483629
@@ -80,13 +80,16 @@ def shard(df: DataFrame, n_shards: int = 8, seed: int = 2024, order: tuple[str,
 
     Nulls in the order columns come first; rows equal in them get consecutive
     numbers in any order, so equal rows may swap places but never share one. An
-    empty table stays empty. Columns of df named shard, slot or row are replaced.
+    empty table stays empty. Columns of df named shard or slot are replaced, all
+    others stay; texts among them travel with the row, however long.
     """
-    rows = numbered(df.drop("row", "shard", "slot"), *order)
+    df = df.drop("shard", "slot")
+    own = fresh(df, "row", "x")
+    rows = numbered(df, *order, name=own["row"])
     n = max(1, df.count())
-    x = permuted(F.col("row"), n, seed)
+    x = permuted(F.col(own["row"]), n, seed)
     x = F.when(x < n, x).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
-    return rows.withColumn("_x", x).withColumn("shard", (F.col("_x") % n_shards).cast("int")).withColumn("slot", F.floor(F.col("_x") / n_shards).cast("long")).drop("_x", "row")
+    return rows.withColumn(own["x"], x).withColumn("shard", (F.col(own["x"]) % n_shards).cast("int")).withColumn("slot", F.expr(f"`{own['x']}` div {n_shards}")).drop(own["x"], own["row"])
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

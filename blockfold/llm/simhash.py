@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import arrow, partitions, session, table, written
+from .common import arrow, fresh, id_key, partitions, small, table, text_key, written
 from .components import components
 from .golay import pair_keys
 
@@ -55,16 +55,16 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, words: int = 4) -> DataFrame:
-    """df's doc_id with its fingerprint as a signed long; null, empty and blank texts have 0."""
-    out = arrow("doc_id long, fp long")
+    """df's doc_id and text key with its fingerprint as a signed long; null, empty and blank texts have 0."""
+    out = arrow("doc_id long, text_key long, fp long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             fp = np.array([fingerprint(x, words) for x in batch["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([batch["doc_id"], pa.array(fp)], schema=out)
+            yield pa.record_batch([batch["doc_id"], batch["text_key"], pa.array(fp)], schema=out)
 
-    session(df)
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def connect(x: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -104,12 +104,12 @@ def links(classes: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """u, v: links that connect the distinct fingerprints `fp` of classes within `most` (up to 4) bits."""
     if most > 4:
         raise ValueError("the keys guarantee 4 bits")
-    spark = session(classes)
+    spark = classes.sparkSession
     key_schema, link_schema = "key int, fp long", "u long, v long"
     key_out, link_out = arrow(key_schema), arrow(link_schema)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             x = batch["fp"].to_numpy()
             rows, keys = pair_keys(x.view(np.uint64))
             yield pa.record_batch([pa.array(keys.astype(np.int32)), pa.array(x[rows])], schema=key_out)
@@ -145,7 +145,11 @@ def links(classes: DataFrame, most: int = MOST_BITS) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, words: int = 4, most: int = MOST_BITS, similarity: float | None = None) -> DataFrame:
-    """doc_id, fp, component_id of every row of df (doc_id, text), the latter the least doc_id that links reach.
+    """doc_id, text_key, fp, root, component_id of every row of df (doc_id, text).
+
+    component_id is the least doc_id that links reach, root the least
+    fingerprint: where doc_ids repeat, components may share the former, never
+    the latter.
 
     With a similarity, all texts whose sets of shingles overlap by at least
     that much (Jaccard) are linked too, however far apart their fingerprints
@@ -153,7 +157,8 @@ def near_duplicates(df: DataFrame, words: int = 4, most: int = MOST_BITS, simila
     Documents without words have fingerprint 0 and link like any other. Rows
     with a null doc_id are linked, but never name a component unless all of
     its doc_ids are null. Repeated rows and doc_ids give a row each; other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. A text of any
+    length is one row and takes memory in proportion to its words.
     """
     rows = written(fingerprints(df, words), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
@@ -163,8 +168,28 @@ def near_duplicates(df: DataFrame, words: int = 4, most: int = MOST_BITS, simila
     roots = written(components(found), "roots")
     classed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = written(classed.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
-    named = written(classed.join(least, "root").select(F.col("fp").alias("class"), "component_id"), "named")
-    return rows.join(named, rows.fp == named["class"]).select("doc_id", "fp", "component_id")
+    named = written(classed.join(least, "root").select(F.col("fp").alias("class"), "root", "component_id"), "named")
+    return rows.join(named, rows.fp == named["class"]).select("doc_id", "text_key", "fp", "root", "component_id")
+
+
+def one_of_each(df: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of df that stay, one of each component of near_duplicates(df).
+
+    It is the row of least doc_id (null last), of several the one of least text
+    key; of rows equal in both the one whose columns are least in their order.
+    """
+    own = fresh(df, "did", "th", "rows")
+    did, th, n = (own[k] for k in ("did", "th", "rows"))
+    rows = found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), id_key().alias("did"), "text_key", "n")).alias("least")
+    stays = written(rows.groupBy("root").agg(least).select(F.col("least.did").alias(did), F.col("least.text_key").alias(th), F.col("least.n").alias(n)), "stays")
+    keyed = df.withColumn(did, id_key()).withColumn(th, text_key())
+    once = keyed.join(stays.where(F.col(n) == 1), [did, th]).select(*df.columns)
+    several = stays.where(F.col(n) > 1)
+    if several.isEmpty():
+        return once
+    equal = keyed.join(several, [did, th]).groupBy(did, th).agg(F.min(F.struct(*df.columns)).alias("row"))
+    return once.union(equal.select("row.*"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

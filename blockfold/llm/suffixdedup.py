@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import chunked, opened, with_side
+from .chunks import bytes_of, chunked, opened, with_side
 from .common import arrow, partitions, table, written
 
 LENGTH = 200
@@ -223,8 +223,7 @@ def removal(df: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool =
     spark = df.sparkSession
     gram = min(gram, length)
     chunks = chunked(df)
-    total = chunks.agg(F.sum(F.expr("cast(length(data) as long)"))).first()[0] or 0
-    buckets = max(partitions(spark), 3 * total // BUCKET_BYTES)  # texts shrink to a third or so
+    buckets = max(partitions(spark), bytes_of(chunks) // BUCKET_BYTES)
     blob_out, side_out = arrow(BLOBS), arrow(SIDE)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

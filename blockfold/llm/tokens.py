@@ -6,7 +6,9 @@ between characters that are not white space, and the change from a letter or
 digit to ASCII punctuation at the end of a word. Words between such places are
 therefore encoded once by the tokenizers library and looked up afterwards; any
 text with other white space next to a separator is cut at the remaining safe
-places alone. The ids equal those of the whole text.
+places alone. A text that holds the string of a special token goes to the
+library whole, which gives the token's one id for it. The ids equal those of
+the library's encode(text, add_special_tokens=False) for the whole text.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ class _Cache(dict):
             core = word.rstrip(_TAIL)
             if word[:1] == "\n" and self.prefix:
                 ids = self.tails["\n"] + (self.tails[word[1:]] if len(word) > 1 else b"")
-            elif core != word and core and core[-1].isalnum():
+            elif core != word and core[-1:].isascii() and core[-1:].isalnum():  # lower-casing another letter may end it in a mark
                 ids = self[core] + self.tails[word[len(core) :]]
             else:
                 ids = self.encode(self.prefix + word)
@@ -55,7 +57,7 @@ class _Cache(dict):
 
 
 class WordEncoder:
-    """ids(text): little-endian unsigned 32-bit ids of a text, no special tokens added, special strings as plain text.
+    """ids(text): little-endian unsigned 32-bit ids of a text, no special tokens added.
 
     spaces: True where a space belongs to the word after it and line feeds have
     ids (byte-level models); False where white space is dropped.
@@ -66,7 +68,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        #: What all special strings begin with, to look for first; other letters' lower case never is ASCII punctuation.
+        start = os.path.commonprefix(self.special)
+        self.mark = start[: len(start) - len(start.lstrip(_TAIL))]
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.spaces = spaces
         self.plain = _Cache(self._encode, "", None, most // 4 if spaces else most)
@@ -85,6 +90,8 @@ class WordEncoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.special and self.mark in text and any(t in text.lower() for t in self.special):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not self.spaces:
             return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
         if any(x in text for x in _ODD):

@@ -47,9 +47,11 @@ def groups(texts, linked):
     return [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("sample", [20_000, 30])
-def test_near_copies_are_dropped(spark, monkeypatch, sample):
+@pytest.mark.parametrize("sample,few,block", [(20_000, 16, 4096), (30, 2, 4096), (20_000, 1, 3)])
+def test_near_copies_are_dropped(spark, monkeypatch, sample, few, block):
     monkeypatch.setattr(jaccard, "SAMPLE", sample)
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     texts = make_texts()
     sets = [sets_of(t) for t in texts]
     fps = [simhash.fingerprint(t, 5) for t in texts]
@@ -74,3 +76,21 @@ def test_prefixes_meet():
             b = np.unique(keep)
             counts = np.arange(len(common)) % 7 + 3
             assert set(jaccard.prefix(a, common, counts, 0.8).tolist()) & set(jaccard.prefix(b, common, counts, 0.8).tolist())
+
+
+def test_bitmaps_allow_all_similar_pairs():
+    r = np.random.default_rng(4)
+    sets = []
+    for n in (1, 3, 40, 130, 200, 700, 5000):
+        base = r.integers(0, 2**63, n).astype(np.uint64)
+        for share in (1.0, 0.95, 0.9, 0.85, 0.8, 0.5, 0.0):
+            more = r.integers(0, 2**63, n - int(share * n)).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([base[: int(share * n)], more])))
+        sets.append(np.unique(base[: max(1, int(0.8 * n))]))
+    sizes = np.array([len(x) for x in sets])
+    similar = {(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(np.intersect1d(sets[i], sets[j])) >= 8 * len(np.union1d(sets[i], sets[j]))}
+    for side in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+        i, j = jaccard.close_pairs(sizes, side, np.arange(len(sets)), [jaccard.parity(x) for x in sets], 0.8)
+        got = {(max(a, b), min(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+        want = {(a, b) for a, b in similar if side[a] != side[b] or not side.any()}
+        assert want <= got and len(got) == len(i) and len(got) < 3 * len(want) + 20

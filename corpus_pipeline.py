@@ -34,11 +34,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, linked by SimHash or by an overlap of at least SIMILARITY, the document of least doc_id stays."""
+    """Of each group of near-duplicates, linked by SimHash or by an overlap of at least SIMILARITY, the row of least doc_id stays.
+
+    Rows count one by one, whatever their doc_ids: texts that share a doc_id
+    are kept or dropped each for itself, and of repeated rows one stays. All
+    texts without words are one group.
+    """
     docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs, words=5, similarity=SIMILARITY)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return simhash.one_of_each(docs, simhash.near_duplicates(docs, words=5, similarity=SIMILARITY)).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

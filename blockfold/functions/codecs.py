@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from .names import ALPHABET
 
@@ -62,6 +62,12 @@ def human(n: Column) -> Column:
     return F.when(n >= 10**9, big(1e9, "B")).when(n >= 10**6, big(1e6, "M")).when(n >= 1000, big(1e3, "K")).otherwise(n.cast("string"))
 
 
+def little(value: Column, size: int) -> Column:
+    """A whole number's low bytes in little-endian order, as binary."""
+    digits = F.lpad(F.hex(value.cast("long")), 16, "0")
+    return F.unhex(F.concat(*(F.substring(digits, 15 - 2 * k, 2) for k in range(size))))
+
+
 def name_value(name: str) -> int:
     out = 0
     for k in range(13):
@@ -270,16 +276,156 @@ def abi_decode(abi: pd.Series, action: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series([one(*x) for x in zip(abi, action, data, strict=True)])
 
 
+#: The layout of an ABI in binary form.
+_PAIR = [{"name": "id", "type": "string"}, {"name": "body", "type": "string"}]
+_FIELD = [{"name": "name", "type": "string"}, {"name": "type", "type": "string"}]
+ABI_OF_ABIS = {
+    "structs": [
+        {"name": name, "base": "", "fields": fields}
+        for name, fields in (
+            ("type", [{"name": "new_type_name", "type": "string"}, {"name": "type", "type": "string"}]),
+            ("field", _FIELD),
+            ("struct", [{"name": "name", "type": "string"}, {"name": "base", "type": "string"}, {"name": "fields", "type": "field[]"}]),
+            ("action", [{"name": "name", "type": "name"}, {"name": "type", "type": "string"}, {"name": "ricardian_contract", "type": "string"}]),
+            ("table", [{"name": "name", "type": "name"}, {"name": "index_type", "type": "string"}, {"name": "key_names", "type": "string[]"}, {"name": "key_types", "type": "string[]"}, {"name": "type", "type": "string"}]),
+            ("clause", _PAIR),
+            ("error", [{"name": "error_code", "type": "uint64"}, {"name": "error_msg", "type": "string"}]),
+            ("extension", [{"name": "tag", "type": "uint16"}, {"name": "value", "type": "bytes"}]),
+            ("variant", [{"name": "name", "type": "string"}, {"name": "types", "type": "string[]"}]),
+            ("result", [{"name": "name", "type": "name"}, {"name": "result_type", "type": "string"}]),
+            (
+                "abi",
+                [{"name": "version", "type": "string"}]
+                + [{"name": n, "type": t} for n, t in (("types", "type[]"), ("structs", "struct[]"), ("actions", "action[]"), ("tables", "table[]"), ("ricardian_clauses", "clause[]"), ("error_messages", "error[]"), ("abi_extensions", "extension[]"), ("variants", "variant[]$"), ("action_results", "result[]$"))],
+            ),
+        )
+    ]
+}
+
+
+def unpack_abi(raw: bytes) -> dict:
+    """An ABI out of its binary form; parts that later versions have and this one lacks are left out."""
+    return drop_nulls(Reader(ABI_OF_ABIS, raw).read("abi"))
+
+
 @pandas_udf(StructType([StructField("contract", StringType()), StructField("abi_json", StringType())]))
 def parse_setabi(data: pd.Series) -> pd.DataFrame:
-    """Contract and ABI text of a setabi action's data: name, length, bytes; an empty ABI is null."""
+    """Contract and ABI (as JSON, keys sorted) of a setabi action's data: name, length, binary ABI. An empty ABI is null; data that do not fit give two nulls."""
 
     def one(raw: bytes | None) -> tuple[str | None, str | None]:
         try:
             name = value_name(struct.unpack_from("<Q", raw)[0])
             n, at = read_varint(raw, 8)
-            return name, bytes(raw[at : at + n]).decode() or None
-        except (TypeError, struct.error, IndexError, UnicodeDecodeError):
+            if at + n > len(raw):
+                return None, None
+            return name, json.dumps(unpack_abi(bytes(raw[at : at + n])), separators=(",", ":"), sort_keys=True, ensure_ascii=False) if n else None
+        except (TypeError, ValueError, struct.error, IndexError, RecursionError):
             return None, None
 
     return pd.DataFrame([one(x) for x in data], columns=["contract", "abi_json"])
+
+
+def encode_chunk(seqs: Any, base: int | None = None) -> bytes:
+    """Ascending sequences as a chunk: base and number of them, then differences. With a base kept elsewhere (lean): their number, then differences from it."""
+    if not len(seqs):
+        raise ValueError("an empty chunk")
+    seqs = [int(x) for x in seqs]
+    if base is None:
+        head, rest, before = struct.pack("<QI", seqs[0], len(seqs)), seqs[1:], seqs[0]
+    else:
+        head, rest, before = struct.pack("<I", len(seqs)), seqs, base
+    return head + b"".join(varint(b - a) for a, b in zip([before, *rest], rest, strict=False))
+
+
+def decode_chunk(raw: bytes, base: int | None = None) -> list[int]:
+    head = struct.calcsize("<QI") if base is None else 4
+    if len(raw) < head:
+        raise ValueError("the chunk ends early")
+    first, n = struct.unpack_from("<QI", raw) if base is None else (base, struct.unpack_from("<I", raw)[0])
+    if not n:
+        raise ValueError("an empty chunk")
+    out, at, now = [first] if base is None else [], head, first
+    while len(out) < n:
+        if at >= len(raw):
+            raise ValueError("the chunk ends early")
+        step, at = read_varint(raw, at)
+        now += step
+        out.append(now)
+    return out
+
+
+@pandas_udf(BinaryType())
+def chunk_bytes(seqs: pd.Series) -> pd.Series:
+    return seqs.map(encode_chunk)
+
+
+@pandas_udf(ArrayType(LongType()))
+def chunk_seqs(data: pd.Series) -> pd.Series:
+    return data.map(decode_chunk)
+
+
+@pandas_udf(BinaryType())
+def lean_chunk_bytes(base: pd.Series, seqs: pd.Series) -> pd.Series:
+    return pd.Series([encode_chunk(s, int(b)) for b, s in zip(base, seqs, strict=True)])
+
+
+@pandas_udf(ArrayType(LongType()))
+def lean_chunk_seqs(base: pd.Series, data: pd.Series) -> pd.Series:
+    return pd.Series([decode_chunk(d, int(b)) for b, d in zip(base, data, strict=True)])
+
+
+#: The digits of base 58, and curves by their number.
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+CURVES = ("K1", "R1", "WA")
+
+
+def base58(raw: bytes) -> str:
+    n, out = int.from_bytes(raw, "big"), ""
+    while n:
+        n, k = divmod(n, 58)
+        out = BASE58[k] + out
+    return BASE58[0] * (len(raw) - len(raw.lstrip(b"\0"))) + out
+
+
+def signature(raw: bytes | None) -> str:
+    """A signature's bytes (curve, then data) as text with a checksum of four bytes; unknown curves are empty."""
+    if not raw or len(raw) < 2 or raw[0] >= len(CURVES):
+        return ""
+    curve, data = CURVES[raw[0]], bytes(raw[1:])
+    return f"SIG_{curve}_" + base58(data + hashlib.new("ripemd160", data + curve.encode()).digest()[:4])
+
+
+@pandas_udf(StringType())
+def signature_text(data: pd.Series) -> pd.Series:
+    return data.map(signature)
+
+
+def packed_trx(expiration: Column, ref_block_num: Column, ref_block_prefix: Column, actions: Column) -> Column:
+    """Hex of a transaction's packed form out of the bytes of its root actions (at most 127), without limits, delay and extensions."""
+    head = F.concat(little(expiration, 4), little(ref_block_num, 2), little(ref_block_prefix, 4), little(F.lit(0), 3), little(F.lit(0), 1))
+    listed = F.array_join(F.transform(actions, lambda a: F.hex(a)), "")
+    return F.lower(F.concat(F.hex(head), F.hex(little(F.size(actions), 1)), listed, F.lit("00")))
+
+
+#: Fixed value: what a zstandard frame begins with.
+ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
+
+
+@pandas_udf(BinaryType())
+def compress(data: pd.Series) -> pd.Series:
+    import zstandard
+
+    return data.map(lambda x: None if x is None else zstandard.ZstdCompressor(level=3).compress(x))
+
+
+@pandas_udf(BinaryType())
+def decompress(data: pd.Series) -> pd.Series:
+    """What a zstandard frame holds; other bytes as they are."""
+    import zstandard
+
+    return data.map(lambda x: zstandard.ZstdDecompressor().decompress(x) if x is not None and bytes(x[:4]) == ZSTD_MAGIC else x)
+
+
+def checksums(data: Column) -> Column:
+    """struct: CRC-32 and SHA-256 of a record."""
+    return F.struct(F.crc32(data).alias("crc32"), F.sha2(data, 256).alias("sha256"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def to_u64(name: Column) -> Column:
     return (head.cast("decimal(20,0)") * F.lit(16).cast("decimal(3,0)") + tail.cast("decimal(3,0)")).cast("decimal(20,0)")
 
 
+def signed(value: Column) -> Column:
+    """The long with the same 64 bits as a DECIMAL(20, 0) value."""
+    return F.when(value >= F.lit(Decimal(2**63)), value - F.lit(Decimal(2**64))).otherwise(value).cast("long")
+
+
 def from_u64(value: Column) -> Column:
     """The canonical string of a DECIMAL(20, 0) value."""
     head = F.floor(value / F.lit(16)).cast("decimal(20,0)").cast("long")

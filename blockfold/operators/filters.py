@@ -89,3 +89,36 @@ def account_in_block(actions: DataFrame, block: int, account: str) -> DataFrame:
         F.array_contains("auths", account).alias("is_authorizer"),
     )
     return flags.where("is_receiver or is_contract or is_authorizer")
+
+
+def could_match(subscriptions: Sequence[tuple[Sequence[str], Sequence[str], Sequence[str]]]) -> Column:
+    """Whether any live subscription (contracts, actions, receivers) could want an action, before its accounts are known.
+
+    One without contracts and receivers wants nothing; one with contracts alone
+    wants receipts of the contract itself.
+    """
+    out = F.lit(False)
+    for contracts, actions, receivers in subscriptions:
+        if not contracts and not receivers:
+            continue
+        own = F.lit(True)
+        if contracts:
+            own = own & F.col("contract").isin(list(contracts))
+        if actions:
+            own = own & F.col("action").isin(list(actions))
+        own = own & (F.col("receiver").isin(list(receivers)) if receivers else F.col("receiver") == F.col("contract"))
+        out = out | own
+    return out
+
+
+def query_allowed(params: Sequence[str], allowed: Sequence[str]) -> bool:
+    """Whether a request has no parameters but allowed ones; an empty list allows all."""
+    return not allowed or set(params) <= set(allowed)
+
+
+def body_allowed(body: Column, allowed: Sequence[str]) -> Column:
+    """Whether a JSON body has no top-level keys but allowed ones; an empty list allows all, and an empty body is allowed."""
+    if not allowed:
+        return F.lit(True)
+    keys = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
+    return F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) == 0

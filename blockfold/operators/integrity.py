@@ -31,14 +31,14 @@ def missing_blocks(blocks: DataFrame) -> DataFrame:
     return block_gaps(blocks).select("slice_num", F.explode(F.sequence("first_missing", "last_missing")).alias("block_num"))
 
 
-def missing_ranges(missing: DataFrame) -> DataFrame:
-    """Missing blocks as consecutive ranges, per slice."""
-    island = F.col("block_num") - F.row_number().over(Window.partitionBy("slice_num").orderBy("block_num"))
-    return missing.withColumn("_island", island).groupBy("slice_num", "_island").agg(F.min("block_num").alias("first_missing"), F.max("block_num").alias("last_missing"), F.count("*").alias("n")).drop("_island")
+def missing_ranges(blocks: DataFrame) -> DataFrame:
+    """Missing blocks as consecutive ranges with their sizes, per slice: the gaps as they are, none spelt out."""
+    return block_gaps(blocks).withColumn("n", F.col("last_missing") - F.col("first_missing") + 1)
 
 
-def top_affected(missing: DataFrame, n: int = 5) -> DataFrame:
-    return missing.groupBy("slice_num").agg(F.count("*").alias("missing")).orderBy(F.desc("missing"), "slice_num").limit(n)
+def top_affected(blocks: DataFrame, n: int = 5) -> DataFrame:
+    """The slices with most missing blocks."""
+    return missing_ranges(blocks).groupBy("slice_num").agg(F.sum("n").alias("missing")).orderBy(F.desc("missing"), "slice_num").limit(n)
 
 
 def glob_gaps(blocks: DataFrame) -> DataFrame:
@@ -92,6 +92,66 @@ def continuity(blocks: DataFrame) -> DataFrame:
     )
 
 
+def missing_files(manifest: DataFrame, present: DataFrame) -> DataFrame:
+    """Slices of a manifest (slice_num) of which no file is there (present: slice_num)."""
+    gone = manifest.join(present.select("slice_num").distinct(), "slice_num", "left_anti")
+    return gone.select("slice_num", F.lit(ERROR).alias("severity"), F.lit("MISSING_FILE").alias("kind"))
+
+
+def empty_slices(manifest: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Slices of a manifest without any block."""
+    gone = manifest.join(blocks.select("slice_num").distinct(), "slice_num", "left_anti")
+    return gone.select("slice_num", F.lit(WARNING).alias("severity"), F.lit("EMPTY_INDEX").alias("kind"))
+
+
+def ingest_violations(actions: DataFrame) -> DataFrame:
+    """Actions that must not be taken in: the receipt names another receiver, or authorizations and their sequences differ in number."""
+    other = F.col("receiver") != F.col("receipt_receiver")
+    counts = F.size("auth_seqs") != F.size("auths")
+    rule = F.when(other, "RECEIPT_RECEIVER").when(counts, "AUTH_COUNT")
+    return actions.withColumn("rule", rule).where("rule is not null").select("global_seq", "rule")
+
+
+def enforce(actions: DataFrame) -> DataFrame:
+    """actions; evaluating one that breaks an invariant is an error."""
+    wrong = (F.col("receiver") != F.col("receipt_receiver")) | (F.size("auth_seqs") != F.size("auths"))
+    seq = F.when(wrong, F.raise_error(F.concat(F.lit("ingest invariant broken at "), F.col("global_seq").cast("string"))).cast("long")).otherwise(F.col("global_seq"))
+    return actions.withColumn("global_seq", seq)
+
+
+def first_slices(blocks: DataFrame, size: int, max_blocks: int) -> DataFrame:
+    """slice_num of the leading slices that have at most max_blocks blocks together, one at least; 0: all. A row per slice is ordered."""
+    slices = blocks.select("slice_num").distinct()
+    if not max_blocks:
+        return slices
+    return slices.orderBy("slice_num").limit(max(1, max_blocks // size))
+
+
+def validate(blocks: DataFrame, actions: DataFrame, size: int, contract: str, action: str, mode: str = "FAST", max_blocks: int = 0) -> DataFrame:
+    """Findings by mode: FAST looks at blocks, FULL at sequences too, ONBLOCK also for the system action of each block."""
+    if mode not in ("FAST", "FULL", "ONBLOCK"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if max_blocks:
+        own = first_slices(blocks, size, max_blocks)
+        blocks = blocks.join(own, "slice_num", "left_semi")
+        actions = actions.join(own, "slice_num", "left_semi")
+    found = [
+        issue(out_of_range(blocks, size), ERROR, "BLOCK_OUT_OF_RANGE"),
+        issue(duplicate_blocks(blocks), ERROR, "DUPLICATE_BLOCK"),
+        issue(missing_blocks(blocks), ERROR, "MISSING_BLOCK"),
+        issue(slice_overlaps(blocks), ERROR, "OVERLAPPING_SLICES", "min_block"),
+        issue(slice_gaps(blocks), WARNING, "SLICE_GAP", "min_block"),
+    ]
+    if mode == "FULL":
+        found.append(issue(glob_gaps(blocks), ERROR, "SEQUENCE_GAP"))
+    if mode == "ONBLOCK":
+        found.append(issue(missing_action(blocks, actions, contract, action), ERROR, "MISSING_ONBLOCK"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def issues(blocks: DataFrame, actions: DataFrame, size: int, contract: str, action: str) -> DataFrame:
     """All findings as one table."""
     found = [

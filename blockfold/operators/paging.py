@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.codecs import fingerprint
 from ..functions.timeslots import date_range, parse_date
 from .filters import hours, seq_range
-from .stats import hours_to_seqs
+from .stats import hours_to_seqs, placed, stretches
 
 DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
 
@@ -40,8 +40,9 @@ def page(rows: DataFrame, n: int, newest: bool = True, cursor: int | None = None
 
 
 def positions(rows: DataFrame, first: int, count: int) -> DataFrame:
-    """Rows first to first + count - 1 in sequence order, from 0."""
-    return rows.orderBy("global_seq").offset(first).limit(count)
+    """Rows first to first + count - 1 in sequence order, from 0, with their `place`; only the stretches that hold them are ranked."""
+    own = stretches(rows).where((F.col("_before") < first + count) & (F.col("_before") + F.col("_n") > first))
+    return placed(rows, own).where(F.col("place").between(first, first + count - 1))
 
 
 def pos_offset(rows: DataFrame, pos: int = -1, offset: int = -20) -> DataFrame:
@@ -55,14 +56,12 @@ def pos_offset(rows: DataFrame, pos: int = -1, offset: int = -20) -> DataFrame:
     size = max(1, abs(offset))
     if pos < 0:
         newest = page(rows, size)
-        return newest.withColumn("n", F.row_number().over(Window.orderBy(F.desc("global_seq"))))
+        return newest.withColumn("n", F.row_number().over(Window.orderBy(F.desc("global_seq"))))  # a page
     at = max(1, pos)
-    if offset < 0:
-        last = page(rows.orderBy("global_seq").limit(at), size)
-    else:
-        rest = rows.orderBy("global_seq").offset(at - 1).limit(size)
-        last = rest if pos == 0 or not rest.isEmpty() else page(rows, 1)
-    return last.withColumn("n", F.row_number().over(Window.orderBy("global_seq")))
+    if at > 1:
+        at = min(at, max(1, rows.count()))
+    found = positions(rows, max(0, at - size), min(at, size)) if offset < 0 else positions(rows, at - 1, 1 if pos > at else size)
+    return found.withColumn("n", F.row_number().over(Window.orderBy("global_seq"))).drop("place")  # a page
 
 
 @dataclass(frozen=True)
@@ -129,12 +128,19 @@ def activity(
     if at and at.query != query:
         at = None
     newest = (at.order if at else order) == "desc"
-    got = page(rows, limit, newest, at.seq if at else None)
-    edge = got.agg(F.min("global_seq").alias("lo"), F.max("global_seq").alias("hi"), F.count("*").alias("n")).first()
-    ends = (edge.lo, edge.hi) if newest else (edge.hi, edge.lo)  # last and first of the reading order
-    next_cursor = Cursor(ends[0], "desc" if newest else "asc", query).encode() if edge.n == limit else None
-    before = edge.n and not page(rows, 1, not newest, ends[1]).isEmpty()
-    prev_cursor = Cursor(ends[1], "asc" if newest else "desc", query).encode() if before else None
+    # the page, and whether anything stands on the other side of the cursor, in one job of limit + 1 rows at most
+    wanted = page(rows, limit, newest, at.seq if at else None).withColumn("_page", F.lit(True))
+    if at:
+        beyond = rows.where(F.col("global_seq") >= at.seq if newest else F.col("global_seq") <= at.seq)
+        wanted = wanted.union(beyond.limit(1).withColumn("_page", F.lit(False)))
+    rows_ = wanted.toArrow()
+    mine = rows_.filter(rows_["_page"]).drop(["_page"])
+    seqs, before = mine["global_seq"].to_pylist(), len(mine) < len(rows_)
+    got = rows.sparkSession.createDataFrame(mine, schema=rows.schema)
+    low, high = (min(seqs), max(seqs)) if seqs else (0, 0)
+    last, first_ = (low, high) if newest else (high, low)  # of the reading order
+    next_cursor = Cursor(last, "desc" if newest else "asc", query).encode() if len(seqs) == limit else None
+    prev_cursor = Cursor(first_, "asc" if newest else "desc", query).encode() if seqs and before else None
     shown = got.orderBy(F.desc("global_seq") if order == "desc" else F.asc("global_seq"))
     return Activity(shown, next_cursor, prev_cursor, index_used(contract, action))
 
@@ -144,7 +150,8 @@ def fetch(actions: DataFrame, seqs: list[int], strict: bool = False) -> DataFram
     if len(seqs) > MAX_LIMIT:
         raise ValueError(f"at most {MAX_LIMIT} sequences")
     asked = actions.sparkSession.createDataFrame(list(enumerate(seqs)), "pos int, global_seq long")
-    out = F.broadcast(asked).join(actions.where(F.col("global_seq").isin(sorted(set(seqs)))), "global_seq", "left")
+    found = actions.where(F.col("global_seq").isin(sorted(set(seqs))))  # as many rows as were asked for
+    out = asked.join(F.broadcast(found), "global_seq", "left")
     if strict:
         out = out.withColumn("block_num", F.when(F.col("block_num").isNull(), F.raise_error(F.lit("sequence not found")).cast("long")).otherwise(F.col("block_num")))
     return out.orderBy("pos")

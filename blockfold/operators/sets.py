@@ -14,9 +14,9 @@ def merge_dedupe(*lists: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def delta_read(base: DataFrame, delta: DataFrame) -> DataFrame:
+def delta_read(base: DataFrame, delta: DataFrame | None = None) -> DataFrame:
     """Compacted rows and newer ones, each (account, global_seq) once."""
-    return base.unionByName(delta).dropDuplicates(KEY)
+    return (base if delta is None else base.unionByName(delta)).dropDuplicates(KEY)
 
 
 def remove_compacted(delta: DataFrame, base: DataFrame) -> DataFrame:

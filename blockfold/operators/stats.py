@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 10_000
+#: Sequences of a stretch, in which ranks are given; width of the stretches that ranges are looked up by.
+STRETCH, RANGE_WIDTH = 1_000_000, 10_000
 
 
 def account_stats(account_actions: DataFrame) -> DataFrame:
@@ -35,18 +37,45 @@ def hours_to_seqs(hour_map: DataFrame, first: int, last: int) -> tuple[int, int]
     return tuple(seq_range_of_hours(hour_map, first, last).first())
 
 
+def in_ranges(values: DataFrame, value: str, ranges: DataFrame, least: str, most: str, width: int = RANGE_WIDTH) -> DataFrame:
+    """Rows of values beside each range (both ends included) that holds their value.
+
+    Ranges stand under every stretch of `width` numbers they touch and meet
+    values by equality, so there is no nested loop over both sides.
+    """
+    spread = ranges.where(F.col(least) <= F.col(most)).withColumn("_at", F.explode(F.sequence(F.floor(F.col(least) / width), F.floor(F.col(most) / width))))
+    near = values.withColumn("_at", F.floor(F.col(value) / width)).join(spread, "_at").drop("_at")
+    return near.where(F.col(value).between(F.col(least), F.col(most)))
+
+
 def hour_of_seq(hour_map: DataFrame, seqs: DataFrame) -> DataFrame:
-    """global_seq and the earliest hour whose range holds it. The hours (a row each) are broadcast: 8,766 a year."""
-    near = F.broadcast(hour_map)
-    found = seqs.join(near, (seqs.global_seq >= near.min_seq) & (seqs.global_seq <= near.max_seq), "left")
-    return found.groupBy("global_seq").agg(F.min("hour").alias("hour"))
+    """global_seq and the earliest hour whose range holds it."""
+    found = in_ranges(seqs, "global_seq", hour_map, "min_seq", "max_seq").groupBy("global_seq").agg(F.min("hour").alias("hour"))
+    return seqs.distinct().join(found, "global_seq", "left")
+
+
+def stretches(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, _stretch, _n, _before: rows of each stretch of STRETCH sequences of a key, and of the stretches before it."""
+    counts = rows.groupBy(*keys, F.floor(F.col("global_seq") / STRETCH).alias("_stretch")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+
+def placed(rows: DataFrame, of: DataFrame, *keys: str) -> DataFrame:
+    """rows of the stretches in `of` with `place`, from 0 in the order of sequences within their key.
+
+    Ranks are given within a stretch, so no task holds more than STRETCH rows
+    of a key, however many it has.
+    """
+    joined = rows.withColumn("_stretch", F.floor(F.col("global_seq") / STRETCH)).join(of, [*keys, "_stretch"])
+    rank = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy("global_seq"))
+    return joined.withColumn("place", F.col("_before") + rank - 1).drop("_stretch", "_n", "_before")
 
 
 def postings(account_actions: DataFrame, *keys: str) -> DataFrame:
     """Ascending sequences of each key as chunks of CHUNK: chunk, base, n, seqs. No list grows beyond a chunk."""
-    place = Window.partitionBy(*keys).orderBy("global_seq")
-    chunk = F.floor((F.row_number().over(place) - 1) / CHUNK).cast("long")
-    rows = account_actions.select(*keys, "global_seq").distinct().withColumn("chunk", chunk)
+    rows = account_actions.select(*keys, "global_seq").distinct()
+    rows = placed(rows, stretches(rows, *keys), *keys).withColumn("chunk", F.floor(F.col("place") / CHUNK).cast("long"))
     return rows.groupBy(*keys, "chunk").agg(F.min("global_seq").alias("base"), F.count("*").alias("n"), F.array_sort(F.collect_list("global_seq")).alias("seqs"))
 
 

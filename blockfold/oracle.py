@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from .queries import ACCOUNT, ACTION, BLOCK, CONTRACT, CURSOR, FIRST, HOUR_HI, HOUR_LO, LAST, OTHER, SEQ_HI, SEQ_LO, SEQS
 
 _HISTORY = """
@@ -98,7 +100,37 @@ def _pos_offset() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _abi(version: str) -> str:
+    """The JSON of the ABI that the queries' setabi actions hold."""
+    head = '{"abi_extensions":[],"actions":[{"name":"click","ricardian_contract":"","type":"put"},{"name":"view","ricardian_contract":"","type":"put"}],"error_messages":[],"ricardian_clauses":[],'
+    body = '"structs":[{"base":"","fields":[{"name":"q","type":"uint64"}],"name":"put"}],"tables":[],"types":[],"version":"'
+    return f"'{head}{body}' || {version} || '\"}}'"
+
+
+def _little(number: str, size: int) -> str:
+    """Hex of a number's low bytes in little-endian order."""
+    return "(" + " || ".join(f"substr(printf('%016x', {number}), {15 - 2 * k}, 2)" for k in range(size)) + ")"
+
+
+_LEAD = "lead AS (SELECT DISTINCT slice_num FROM thin ORDER BY slice_num LIMIT 2), own AS (SELECT thin.* FROM thin JOIN lead USING (slice_num))"
+_MODES = f"""{_LEAD},
+steps AS (SELECT *, lag(block_num) OVER w AS prev, lag(glob_max) OVER w AS prev_max FROM own WINDOW w AS (PARTITION BY slice_num ORDER BY block_num)),
+bounds AS (SELECT slice_num, min_block, lag(max_block) OVER (ORDER BY slice_num) AS p FROM (SELECT slice_num, min(block_num) AS min_block, max(block_num) AS max_block FROM own GROUP BY slice_num)),
+every AS (SELECT unnest(['FAST', 'FULL', 'ONBLOCK']) AS mode),
+hits AS (
+  SELECT mode, 'MISSING_BLOCK' AS kind, CAST(block_num - prev - 1 AS BIGINT) AS n FROM steps, every WHERE block_num > prev + 1
+  UNION ALL SELECT mode, 'SLICE_GAP', 1 FROM bounds, every WHERE min_block > p + 1
+  UNION ALL SELECT 'FULL', 'SEQUENCE_GAP', 1 FROM steps WHERE glob_min <> prev_max + 1
+  UNION ALL SELECT 'ONBLOCK', 'MISSING_ONBLOCK', 1 FROM own WHERE block_num IN (SELECT block_num FROM no_action))
+SELECT mode, kind, CAST(sum(n) AS BIGINT) AS n FROM hits GROUP BY ALL"""
+_CRCS = " ".join(f"WHEN '{x}' THEN {zlib.crc32(x.encode())}::BIGINT" for x in ("click", "error", "purchase", "signup", "view"))
+_RECORD = "sha256(global_seq || '|' || receiver || '|' || contract || '|' || action)"
+
+
 def _on(sql: str) -> str:
+    if sql.startswith("lead AS"):
+        return f"WITH RECURSIVE {_HISTORY.rstrip()},\n{sql}"
+
     return f"WITH RECURSIVE {_HISTORY}\n{sql}"
 
 
@@ -110,7 +142,18 @@ _ON_HISTORY: dict[str, str] = {
     "notified_in_block": f"SELECT global_seq, receiver AS notified FROM actions WHERE block_num = {BLOCK}",
     "raw_actions_filtered": f"SELECT block_num, global_seq FROM actions WHERE block_num BETWEEN {FIRST} AND {LAST} AND contract = '{CONTRACT}' AND action = '{ACTION}'",
     "trx_ids_in_block": f"SELECT trx_index, trx_id FROM transactions WHERE block_num = {BLOCK}",
-    "abi_rebuild": "SELECT contract, block_num, ord FROM abis WHERE NOT cleared",
+    "abi_rebuild": f"SELECT contract, block_num, ord, {_abi("'v' || ord")} AS abi_json FROM abis WHERE NOT cleared",
+    "abi_log_sink": "SELECT contract, block_num, ord FROM abis WHERE NOT cleared",
+    "could_match": "SELECT global_seq FROM actions WHERE (contract = 'cd' AND receiver = contract) OR (action = 'click' AND receiver = 'ub') OR (contract = 'ca' AND action = 'view' AND receiver IN ('uc', 'ca'))",
+    "chunk_codec": f"SELECT account, p AS chunk, string_agg(CAST(global_seq AS VARCHAR), ',' ORDER BY global_seq) AS seqs, string_agg(CAST(global_seq AS VARCHAR), ',' ORDER BY global_seq) AS lean_seqs, {_little('min(global_seq)', 8)} || {_little('count(*)', 4)} AS head FROM (SELECT *, (row_number() OVER (PARTITION BY account ORDER BY global_seq) - 1) // 10000 AS p FROM account_actions) GROUP BY account, p",
+    "sync_mode": "SELECT block_num, CASE WHEN block_num + 1000 < (SELECT max(block_num) FROM blocks) THEN 'bulk' ELSE 'live' END AS mode FROM blocks",
+    "stream_sync": "SELECT contract, count(*) AS n FROM actions GROUP BY contract",
+    "stream_trx_ids": "SELECT block_num, trx_index, trx_id FROM transactions",
+    "v_missing_file": "SELECT DISTINCT slice_num, 'ERROR' AS severity, 'MISSING_FILE' AS kind FROM blocks WHERE slice_num % 3 = 1",
+    "v_empty_index": "SELECT DISTINCT slice_num, 'WARNING' AS severity, 'EMPTY_INDEX' AS kind FROM blocks WHERE slice_num % 4 = 2",
+    "v_modes": _MODES,
+    "v_ingest_invariants": "SELECT global_seq, CASE WHEN global_seq % 97 = 0 THEN 'RECEIPT_RECEIVER' ELSE 'AUTH_COUNT' END AS rule FROM actions WHERE global_seq % 97 = 0 OR (global_seq % 89 = 0 AND len(auths) <> 1)",
+    "slice_digests": f"SELECT slice_num, sha256(string_agg(d, '' ORDER BY block_num)) AS digest FROM (SELECT slice_num, block_num, sha256(string_agg({_RECORD}, '' ORDER BY global_seq)) AS d FROM actions GROUP BY ALL) GROUP BY slice_num",
     "state_props": "SELECT max(block_num) AS head, max(block_num) AS lib FROM blocks",
     "first_available_block": "SELECT min(block_num) AS block_num FROM blocks WHERE block_num >= 7",
     "notifications_in_block": f"SELECT account, string_agg(CAST(global_seq AS VARCHAR), ',' ORDER BY global_seq) AS seqs FROM (SELECT DISTINCT account, global_seq FROM told WHERE block_num = {BLOCK}) GROUP BY account",
@@ -199,7 +242,8 @@ _ON_HISTORY: dict[str, str] = {
     "stream_index_maintain": "SELECT * FROM account_actions",
     "stream_hour_map": "SELECT * FROM hour_map",
     "stream_trx_index": "SELECT DISTINCT substr(trx_id, 1, 4) AS trx_prefix, trx_id, block_num FROM transactions",
-    "stream_decode": "SELECT global_seq, CASE WHEN ord IS NULL THEN 'none' WHEN cleared THEN 'cleared' ELSE 'set' END AS abi_state, CASE WHEN ord IS NULL OR cleared THEN lower(hex(CAST(quantity AS VARCHAR))) ELSE '{\"quantity\":' || quantity || '}' END AS data FROM state",
+    "stream_decode": f"""SELECT global_seq, CASE WHEN ord IS NULL THEN 'none' WHEN cleared THEN 'cleared' ELSE 'set' END AS abi_state,
+      CASE WHEN ord IS NOT NULL AND NOT cleared AND action IN ('click', 'view') THEN '{{"q":' || state.quantity || '}}' ELSE '"' || {_little('state.quantity', 8)} || '"' END AS data FROM state JOIN actions USING (global_seq)""",
     "v_block_out_of_range": "SELECT slice_num, block_num FROM broken WHERE block_num < slice_num * 100 + 1 OR block_num > (slice_num + 1) * 100",
     "v_duplicate_block": "SELECT slice_num, block_num, 'ERROR' AS severity, 'DUPLICATE_BLOCK' AS kind FROM broken GROUP BY slice_num, block_num HAVING count(*) > 1",
     "v_missing_block": "SELECT slice_num, unnest(range(first_missing, last_missing + 1)) AS block_num, 'ERROR' AS severity, 'MISSING_BLOCK' AS kind FROM gaps",
@@ -228,8 +272,11 @@ _ON_EVENTS: dict[str, str] = {
     "parse_date": f"SELECT event_id, ({_DAY}) * 24 + CASE WHEN event_id % 2 = 0 THEN 5 ELSE 0 END AS first_hour, ({_DAY}) * 24 + CASE WHEN event_id % 2 = 0 THEN 5 ELSE 23 END AS last_hour FROM events",
     "datehour_codec": f"SELECT event_id, ({_HOUR} - 262968) // 24 * 32 + ({_HOUR} - 262968) % 24 AS packed, {_HOUR} AS hour FROM events",
     "hour_to_date": f"SELECT event_id, strftime(make_timestamp({_HOUR} * 3600000000), '%Y-%m-%dT%H:%M:%SZ') AS date FROM events",
-    "parse_setabi": """SELECT event_id, event_type AS contract, CASE WHEN event_id % 7 = 0 THEN NULL ELSE '{"version":"' || user_id || '"}' END AS abi_json FROM events WHERE event_type IN ('click', 'error')""",
-    "abi_decode": """SELECT event_id, '{"from":"' || event_type || '","memo":"' || event_type || '","n":' || event_id || '}' AS decoded FROM events WHERE event_type IN ('click', 'error')""",
+    "parse_setabi": f"SELECT event_id, event_type AS contract, CASE WHEN event_id % 7 <> 0 THEN {_abi("'v' || user_id")} END AS abi_json FROM events",
+    "body_allowed": "SELECT event_id, event_id % 5 <> 0 AS allowed FROM events",
+    "zstd_codec": "SELECT event_id, event_type AS text FROM events",
+    "record_checksums": f"SELECT event_id, CASE event_type {_CRCS} END AS crc32, sha256(event_type) AS sha256 FROM events",
+    "abi_decode": """SELECT event_id, '{"from":"' || event_type || '","memo":"' || event_type || '","n":' || event_id || '}' AS decoded FROM events""",
     "remove_nulls": """SELECT event_id, '{"a":' || event_id * 10000000 || ',"b":[true,' || user_id || ',{}]}' AS out FROM events""",
     "json_safe_ints": """SELECT event_id, '{"a":' || CASE WHEN event_id * 10000000 < 4294967296 THEN CAST(event_id * 10000000 AS VARCHAR) ELSE '"' || event_id * 10000000 || '"' END || ',"b":[1,null,' || user_id || ',{"c":null}],"d":null}' AS out FROM events""",
     "trx_status_name": "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'executed' WHEN 1 THEN 'soft_fail' WHEN 2 THEN 'hard_fail' WHEN 3 THEN 'delayed' WHEN 4 THEN 'expired' ELSE 'unknown' END AS status FROM events",

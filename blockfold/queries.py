@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import assets, codecs, names, timeslots
 from .operators import asof, canonical, filters, integrity, paging, sets, stats, transactions
 from .plans.history import SLICE_BLOCKS, History, from_events
+from .session import work_folder
 from .sources import store
 from .streaming import jobs
 
@@ -22,6 +21,8 @@ SEQ_LO, SEQ_HI, CURSOR = 100, 700, 500
 HOUR_LO, HOUR_HI = 473_352, 473_400
 PATTERNS = ("ca", "cb::*", "*::error", "cd::view", "*::*")
 ACCOUNT_PATTERNS = ("ca", "ub@cd::click", "uc@*", "ud@*::view")
+#: Live subscriptions: contracts, actions, receivers.
+SUBSCRIPTIONS = ((("cd",), (), ()), ((), ("click",), ("ub",)), (("ca",), ("view",), ("uc", "ca")), ((), ("error",), ()))
 SEQS = (7, 3, 3, 250, 999_999_999, 12)
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,32 @@ def history(spark: SparkSession, sf_dir: str) -> History:
     return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+_STORES: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> History:
+    """The history of a table, read from a clustered store.
+
+    The store is written once per session and state of the table's files, in
+    the work folder. Pages of an account then read the few row groups that
+    hold its keys.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = [at(f).getFileSystem(conf).getFileStatus(at(f)) for f in sorted(events.inputFiles())]
+    state = (spark.sparkContext.applicationId, sf_dir, *((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+    if state not in _STORES:
+        path = work_folder(spark)
+        from_events(events).save(path)
+        _STORES[state] = path
+    return History.load(spark, _STORES[state])
+
+
+def _paged(part: Callable[[History], DataFrame]) -> Query:
+    return lambda spark, sf_dir: part(stored(spark, sf_dir))
+
+
 def _on(part: Callable[[History], DataFrame]) -> Query:
     return lambda spark, sf_dir: part(history(spark, sf_dir))
 
@@ -54,23 +81,21 @@ def _split(h: History) -> tuple[DataFrame, DataFrame]:
 
 def log_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest 20 log rows of an account."""
-    h = history(spark, sf_dir)
-    newest = paging.page(_account(h), 20).select("global_seq")
-    rows = paging.project_log(h.actions.join(F.broadcast(newest), "global_seq"))  # 20 rows
+    h = stored(spark, sf_dir)
+    newest = paging.page(_account(h), 20).select("global_seq", F.floor((F.col("block_num") - 1) / SLICE_BLOCKS).cast("int").alias("slice_num"))
+    rows = paging.project_log(h.actions.join(F.broadcast(newest), ["slice_num", "global_seq"]))  # 20 rows, which prune the slices
     return rows.withColumn("block_time", F.date_format("block_time", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = history(spark, sf_dir)
+    h = stored(spark, sf_dir)
     first = paging.activity(h.account_actions, ACCOUNT, limit=10)
     got = paging.activity(h.account_actions, ACCOUNT, limit=10, cursor=first.next_cursor or "")
     return got.rows.select("global_seq", "contract", "action", F.lit(got.next_cursor is not None).alias("has_next"), F.lit(got.prev_cursor is not None).alias("has_prev"))
 
 
 def _truth_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = history(spark, sf_dir)
-    rows = _seqs(_account(h))
-    rows = rows.persist()
+    rows = _seqs(_account(stored(spark, sf_dir)))
     cases = [(-1, -20), (-5, 0), (0, 5), (3, 4), (7, -3), (10_000, 2), (10_000, -2)]
     parts = [paging.pos_offset(rows, p, o).select(F.lit(p).alias("pos"), F.lit(o).alias("off"), F.col("n").cast("long").alias("n"), "global_seq") for p, o in cases]
     return reduce(DataFrame.union, parts)
@@ -93,14 +118,9 @@ def _raw_name() -> Column:
     return F.concat(F.upper(F.substring("event_type", 1, 2)), "event_type", F.lit("z9."), F.col("user_id").cast("string"), F.lit("zz"))
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='streams-')}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """Actions as a stream of files of whole blocks, and a work folder."""
-    folder = _folder(spark)
+    folder = work_folder(spark)
     h = history(spark, sf_dir)
     h.actions.repartitionByRange(4, "block_num").write.parquet(f"{folder}/actions")
     return jobs.source(spark, f"{folder}/actions"), folder
@@ -115,7 +135,7 @@ def _stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, folder = _streamed(spark, sf_dir)
-    jobs.maintain_index(stream, folder).awaitTermination()
+    jobs.maintain_index(stream, folder, every=2).awaitTermination()
     return jobs.compacted(spark, folder)
 
 
@@ -127,27 +147,115 @@ def _stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_trx(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, folder = _streamed(spark, sf_dir)
-    jobs.maintain_trx(stream, folder).awaitTermination()
-    return spark.read.parquet(f"{folder}/trx").drop("batch")
+    jobs.maintain_trx(stream, folder, merge_entries=100).awaitTermination()
+    return jobs.trx_entries(spark, folder)
+
+
+def _binary_text(text: Column) -> Column:
+    return F.concat(codecs.little(F.length(text), 1), text.cast("binary"))
+
+
+def _setabi_data(contract: Column, version: Column, empty: Column) -> Column:
+    """Data of a setabi action whose ABI has a struct `put` {q: uint64}, for the actions click and view."""
+    count = lambda n: codecs.little(F.lit(n), 1)
+    words = lambda *xs: F.concat(*(_binary_text(F.lit(x)) for x in xs))
+    name = lambda x: codecs.little(names.signed(names.to_u64(F.lit(x))), 8)
+    put = F.concat(count(1), words("put", ""), count(1), words("q", "uint64"))
+    actions = F.concat(count(2), name("click"), words("put", ""), name("view"), words("put", ""))
+    abi = F.concat(_binary_text(version), count(0), put, actions, count(0), count(0), count(0), count(0))
+    size = F.length(abi)
+    length = F.concat(codecs.little(size % 128 + 128, 1), codecs.little(F.floor(size / 128), 1))  # as a number of two bytes
+    return F.concat(codecs.little(names.signed(names.to_u64(contract)), 8), F.when(empty, count(0)).otherwise(F.concat(length, abi)))
+
+
+def _raw_actions(h: History) -> DataFrame:
+    """Actions with binary data: the ABI log's entries as setabi of the system contract, all others with their quantity."""
+    set_ = h.abis.select("block_num", F.col("ord").alias("global_seq"), F.lit("eosio").alias("contract"), F.lit("setabi").alias("action"), _setabi_data(F.col("contract"), F.concat(F.lit("v"), F.col("ord").cast("string")), F.col("cleared")).alias("data"))
+    return h.actions.select("block_num", "global_seq", "contract", "action", codecs.little(F.col("quantity"), 8).alias("data")).unionByName(set_)
+
+
+def _abi_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rebuilt log appended in two batches, one of them twice, and read back."""
+    path = f"{work_folder(spark)}/abis"
+    log = store.rebuild_abis(_raw_actions(history(spark, sf_dir)))
+    for batch, own in ((0, "ord % 2 = 0"), (1, "ord % 2 = 1"), (1, "ord % 2 = 1")):
+        store.append_abis(log.where(own), path, batch)
+    return store.abi_log(spark, path).select("contract", "block_num", "ord")
 
 
 def _stream_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pushed actions with their data decoded by the ABI in force, as hex where there is none for them."""
     stream, folder = _streamed(spark, sf_dir)
-    abis = history(spark, sf_dir).abis
+    h = history(spark, sf_dir)
+    store.rebuild_abis(_raw_actions(h)).select(F.col("ord").alias("abi_ord"), "abi_json").write.parquet(f"{folder}/abis")
+    log = spark.read.parquet(f"{folder}/abis")
 
     def each(df: DataFrame, n: int) -> None:
-        out = asof.abi_state(df.select("contract", "block_num", "global_seq", "quantity"), abis)
-        shown = F.when(F.col("abi_state") == "set", F.to_json(F.struct("quantity"))).otherwise(F.lower(F.hex(F.col("quantity").cast("string").cast("binary"))))
-        out.select("global_seq", "abi_state", shown.alias("data")).write.mode("overwrite").parquet(f"{folder}/decoded/batch={n}")
+        out = asof.abi_state(df.select("contract", "block_num", "global_seq", "action", codecs.little(F.col("quantity"), 8).alias("data")), h.abis)
+        out = out.join(log, "abi_ord", "left").select("global_seq", "abi_state", codecs.abi_decode("abi_json", "action", "data").alias("data"))
+        out.write.mode("overwrite").parquet(f"{folder}/decoded/batch={n}")
 
     jobs.run(stream, f"{folder}/checkpoint", each).awaitTermination()
     return spark.read.parquet(f"{folder}/decoded").drop("batch")
 
 
+class _Totals:
+    """An index of action totals by contract, for the sync driver."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def add(self, actions: DataFrame, batch: int) -> None:
+        actions.groupBy("contract").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.folder}/totals/batch={batch}")
+
+    def finish(self) -> None:
+        pass
+
+
+def _sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream, folder = _streamed(spark, sf_dir)
+    jobs.sync(stream, _Totals(folder), f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/totals").groupBy("contract").agg(F.sum("n").alias("n"))
+
+
+def _stream_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream, folder = _streamed(spark, sf_dir)
+    jobs.process_ids(stream, lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/ids/batch={n}"), f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/ids").drop("batch")
+
+
+def _receipts(h: History) -> DataFrame:
+    """Actions with their receipts' receiver and authorization sequences, some of them wrong."""
+    seq = F.col("global_seq")
+    return h.actions.select("global_seq", "receiver", "auths", F.when(seq % 97 == 0, "zz").otherwise(F.col("receiver")).alias("receipt_receiver"), F.when(seq % 89 == 0, F.array(seq)).otherwise(F.transform("auths", lambda a: seq)).alias("auth_seqs"))
+
+
+def _packed(h: History) -> DataFrame:
+    """Packed transactions out of their root actions."""
+    raw = codecs.action_bytes("contract", "action", F.array(F.concat(F.col("receiver"), F.lit("@active"))), codecs.little(F.col("quantity"), 8))
+    own = transactions.root_actions(h.actions).select("trx_id", "block_num", "global_seq", raw.alias("raw"))
+    grouped = own.groupBy("trx_id", "block_num").agg(F.array_sort(F.collect_list(F.struct("global_seq", "raw"))).alias("a"))
+    return grouped.select("trx_id", codecs.packed_trx(F.col("block_num") + 1_700_000_000, F.col("block_num") % 65536, F.col("block_num") * 3, F.col("a.raw")).alias("packed"))
+
+
+def _chunk_codec(h: History) -> DataFrame:
+    lists = stats.postings(h.account_actions, "account")
+    coded = lists.select("account", "chunk", "base", codecs.chunk_bytes("seqs").alias("raw"), codecs.lean_chunk_bytes("base", "seqs").alias("lean"))
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return coded.select("account", "chunk", text(codecs.chunk_seqs("raw")).alias("seqs"), text(codecs.lean_chunk_seqs("base", "lean")).alias("lean_seqs"), F.lower(F.hex(F.substring("raw", 1, 12))).alias("head"))
+
+
 def _issues(h: History) -> DataFrame:
     return integrity.issues(h.blocks, h.actions, SLICE_BLOCKS, CONTRACT, ACTION)
 
 
+def _modes(h: History) -> DataFrame:
+    """Findings of each mode over the leading slices, gaps planted."""
+    own = h.blocks.where("block_num % 7 > 1")
+    parts = [integrity.report(integrity.validate(own, h.actions, SLICE_BLOCKS, CONTRACT, ACTION, m, 250)).select(F.lit(m).alias("mode"), "kind", "n") for m in ("FAST", "FULL", "ONBLOCK")]
+    return reduce(DataFrame.union, parts)
+
+
 def _broken(h: History) -> DataFrame:
     """Blocks with a duplicate, one beyond its slice, and overlapping slices, to be found."""
     b = h.blocks
@@ -160,23 +268,15 @@ ABI = '{"structs":[{"name":"note","base":"","fields":[{"name":"from","type":"nam
 
 def _decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _lines(spark, sf_dir)
-    who = names.canonical(F.col("event_type"))
-    number = F.reverse(F.unhex(F.lpad(F.hex("event_id"), 8, "0")))
-    size = F.unhex(F.lpad(F.hex(F.length("event_type")), 2, "0"))
-    value = F.reverse(F.unhex(F.lpad(F.hex(F.col("u").cast("long")), 16, "0")))
-    rows = e.where("event_type in ('click', 'error')").withColumn("u", names.to_u64(who))
-    rows = rows.withColumn("data", F.concat(value, number, size, F.col("event_type").cast("binary")))
+    rows = e.withColumn("u", names.to_u64(names.canonical(F.col("event_type"))))
+    rows = rows.withColumn("data", F.concat(codecs.little(names.signed(F.col("u")), 8), codecs.little(F.col("event_id"), 4), codecs.little(F.length("event_type"), 1), F.col("event_type").cast("binary")))
     return rows.select("event_id", codecs.abi_decode(F.lit(ABI), F.lit("note"), "data").alias("decoded"))
 
 
 def _setabi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _lines(spark, sf_dir).where("event_type in ('click', 'error')").withColumn("u", names.to_u64(F.col("event_type")))
-    value = F.reverse(F.unhex(F.lpad(F.hex(F.col("u").cast("long")), 16, "0")))
-    text = F.concat(F.lit('{"version":"'), F.col("user_id").cast("string"), F.lit('"}'))
-    text = F.when(F.col("event_id") % 7 == 0, "").otherwise(text)
-    size = F.unhex(F.lpad(F.hex(F.length(text)), 2, "0"))
-    parsed = codecs.parse_setabi(F.concat(value, size, text.cast("binary")))
-    return e.select("event_id", parsed.alias("p")).select("event_id", "p.contract", "p.abi_json")
+    e = _lines(spark, sf_dir)
+    data = _setabi_data(F.col("event_type"), F.concat(F.lit("v"), F.col("user_id").cast("string")), F.col("event_id") % 7 == 0)
+    return e.select("event_id", codecs.parse_setabi(data).alias("p")).select("event_id", "p.contract", "p.abi_json")
 
 
 def _json(change) -> Query:
@@ -213,9 +313,8 @@ def _ordered(h: History) -> DataFrame:
 
 
 def _seq_to_block(h: History) -> DataFrame:
-    asked = h.spark.createDataFrame([(s,) for s in SEQS], "seq long").distinct()
-    b = h.blocks
-    return F.broadcast(asked).join(b, (F.col("seq") >= b.glob_min) & (F.col("seq") <= b.glob_max)).select("seq", "block_num")
+    asked = h.spark.createDataFrame([(s,) for s in sorted(set(SEQS))], "seq long")
+    return stats.in_ranges(asked, "seq", h.blocks, "glob_min", "glob_max").select("seq", "block_num")
 
 
 def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +375,8 @@ QUERIES: dict[str, Query] = {
     "notified_in_block": _on(lambda h: store.scan_block(h.actions, BLOCK, SLICE_BLOCKS).select("global_seq", F.array_join(F.array("receiver"), ",").alias("notified"))),
     "raw_actions_filtered": _on(lambda h: store.scan_range(h.actions, FIRST, LAST, SLICE_BLOCKS).where((F.col("contract") == CONTRACT) & (F.col("action") == ACTION)).select("block_num", "global_seq")),
     "trx_ids_in_block": _on(lambda h: store.scan_block(h.transactions, BLOCK, SLICE_BLOCKS).select("trx_index", "trx_id")),
-    "abi_rebuild": _on(lambda h: h.abis.where("not cleared").select("contract", "block_num", "ord")),
+    "abi_rebuild": _on(lambda h: store.rebuild_abis(_raw_actions(h))),
+    "abi_log_sink": _abi_sink,
     "state_props": _on(lambda h: store.state(h.blocks)),
     "first_available_block": _on(lambda h: store.first_available(h.blocks, 7)),
     "notifications_in_block": _on(lambda h: canonical.notifications(store.scan_block(h.actions, BLOCK, SLICE_BLOCKS)).select("account", F.array_join(F.col("seqs").cast("array<string>"), ",").alias("seqs"))),
@@ -286,6 +386,8 @@ QUERIES: dict[str, Query] = {
     "filter_include_contracts": _on(lambda h: _seqs(h.actions.where(filters.included(["ca", "cd"])))),
     "filter_combined": _on(lambda h: _seqs(h.actions.where(filters.combined(PATTERNS, ["cb", "cd", "ce"])))),
     "filter_stream": _on(lambda h: _seqs(h.actions.where(filters.stream_matches([CONTRACT], [ACTION, "view"], [ACCOUNT, CONTRACT])))),
+    "could_match": _on(lambda h: _seqs(h.actions.where(filters.could_match(SUBSCRIPTIONS)))),
+    "body_allowed": lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", filters.body_allowed(F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"account_name":"x","extra":'), "props", F.lit("}"))).otherwise(F.col("props")), ["k", "account_name"]).alias("allowed")),
     "executions": _on(lambda h: _seqs(canonical.executions(h.actions))),
     "filter_seq_range": _on(lambda h: _seqs(h.actions.where(filters.seq_range(SEQ_LO, SEQ_HI)))),
     "filter_date": _on(lambda h: _seqs(filters.hours(h.actions, timeslots.parse_date("2024-01-05"), timeslots.parse_date("2024-01-05", True)))),
@@ -332,29 +434,29 @@ QUERIES: dict[str, Query] = {
     "block_gaps": _on(lambda h: integrity.block_gaps(h.blocks)),
     "glob_gaps": _on(lambda h: integrity.glob_gaps(h.blocks.where("block_num % 5 <> 0"))),
     "duplicate_blocks": _on(lambda h: integrity.duplicate_blocks(_broken(h))),
-    "missing_ranges": _on(lambda h: integrity.missing_ranges(integrity.missing_blocks(h.blocks.where("block_num % 7 > 1")))),
+    "missing_ranges": _on(lambda h: integrity.missing_ranges(h.blocks.where("block_num % 7 > 1"))),
     "slice_overlap_gap": _on(lambda h: integrity.slice_overlaps(_broken(h)).withColumn("kind", F.lit("overlap")).union(integrity.slice_gaps(h.blocks.where("slice_num % 3 <> 1")).withColumn("kind", F.lit("gap")))),
     "action_position": _on(_ordered),
     "asof_last": _on(lambda h: asof.asof(_account(h).select("contract", "block_num", "global_seq"), h.abis, "contract", "block_num", "ord", "cleared").select("contract", "global_seq", "cleared")),
-    "top_affected_slices": _on(lambda h: integrity.top_affected(integrity.missing_blocks(h.blocks.where("block_num % 7 > 1")))),
+    "top_affected_slices": _on(lambda h: integrity.top_affected(h.blocks.where("block_num % 7 > 1"))),
     # pages
-    "last_n": _on(lambda h: _seqs(paging.page(_account(h), 20))),
-    "first_n": _on(lambda h: _seqs(paging.page(_account(h), 20, False))),
-    "last_n_contract_action": _on(lambda h: _seqs(paging.page(_account(h, CONTRACT, ACTION, CONTRACT), 20))),
-    "first_n_contract_action": _on(lambda h: _seqs(paging.page(_account(h, CONTRACT, ACTION, CONTRACT), 20, False))),
-    "last_n_contract": _on(lambda h: _seqs(paging.page(_account(h, CONTRACT, account=CONTRACT), 20))),
-    "first_n_contract": _on(lambda h: _seqs(paging.page(_account(h, CONTRACT, account=CONTRACT), 20, False))),
-    "position_range": _on(lambda h: _seqs(paging.positions(_account(h), 5, 10))),
-    "cursor_page_all": _on(lambda h: _seqs(paging.page(_account(h), 10, True, CURSOR, SEQ_LO, SEQ_HI))),
-    "cursor_page_contract_action": _on(lambda h: _seqs(paging.page(_account(h, CONTRACT, ACTION, CONTRACT), 10, False, CURSOR))),
-    "cursor_page_contract": _on(lambda h: _seqs(paging.page(_account(h, CONTRACT, account=CONTRACT), 10, True, CURSOR))),
-    "seq_range_page": _on(lambda h: _seqs(paging.page(_account(h), 10, False, None, SEQ_LO, SEQ_HI))),
-    "seq_range_page_contract_action": _on(lambda h: _seqs(paging.page(_account(h, CONTRACT, ACTION, CONTRACT), 10, True, None, SEQ_LO, SEQ_HI))),
-    "seq_range_page_contract": _on(lambda h: _seqs(paging.page(_account(h, CONTRACT, account=CONTRACT), 10, False, None, SEQ_LO, SEQ_HI))),
+    "last_n": _paged(lambda h: _seqs(paging.page(_account(h), 20))),
+    "first_n": _paged(lambda h: _seqs(paging.page(_account(h), 20, False))),
+    "last_n_contract_action": _paged(lambda h: _seqs(paging.page(_account(h, CONTRACT, ACTION, CONTRACT), 20))),
+    "first_n_contract_action": _paged(lambda h: _seqs(paging.page(_account(h, CONTRACT, ACTION, CONTRACT), 20, False))),
+    "last_n_contract": _paged(lambda h: _seqs(paging.page(_account(h, CONTRACT, account=CONTRACT), 20))),
+    "first_n_contract": _paged(lambda h: _seqs(paging.page(_account(h, CONTRACT, account=CONTRACT), 20, False))),
+    "position_range": _paged(lambda h: _seqs(paging.positions(_account(h), 5, 10))),
+    "cursor_page_all": _paged(lambda h: _seqs(paging.page(_account(h), 10, True, CURSOR, SEQ_LO, SEQ_HI))),
+    "cursor_page_contract_action": _paged(lambda h: _seqs(paging.page(_account(h, CONTRACT, ACTION, CONTRACT), 10, False, CURSOR))),
+    "cursor_page_contract": _paged(lambda h: _seqs(paging.page(_account(h, CONTRACT, account=CONTRACT), 10, True, CURSOR))),
+    "seq_range_page": _paged(lambda h: _seqs(paging.page(_account(h), 10, False, None, SEQ_LO, SEQ_HI))),
+    "seq_range_page_contract_action": _paged(lambda h: _seqs(paging.page(_account(h, CONTRACT, ACTION, CONTRACT), 10, True, None, SEQ_LO, SEQ_HI))),
+    "seq_range_page_contract": _paged(lambda h: _seqs(paging.page(_account(h, CONTRACT, account=CONTRACT), 10, False, None, SEQ_LO, SEQ_HI))),
     "activity_page": _activity,
     "get_actions_pos_offset": _truth_table,
     "cursor_codec": _cursor,
-    "has_prev": _on(_has_prev),
+    "has_prev": _paged(_has_prev),
     "order_by_seq": _on(lambda h: h.actions.where(F.col("trx_id").isin(_probe_trx(h))).orderBy("global_seq").select("trx_id", "global_seq")),
     # sets
     "merge_dedupe": _on(lambda h: sets.merge_dedupe(_account(h), _account(h, CONTRACT, account=CONTRACT))),
@@ -392,7 +494,15 @@ QUERIES: dict[str, Query] = {
     "flex_int": _f(lambda: [codecs.flex_int(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"'), F.col("event_id").cast("string"), F.lit('"'))).when(F.col("event_id") % 3 == 1, F.col("event_id").cast("string")).otherwise("x1")).alias("n")]),
     "human_format": _f(lambda: [codecs.human(F.col("event_id") * 12_500).alias("shown")]),
     "ram_delta_explode": _on(lambda h: h.actions.select("global_seq", F.explode(F.transform("auths", lambda a: F.struct(a.alias("account"), F.col("quantity").alias("delta")))).alias("d")).select("global_seq", "d.*")),
+    "chunk_codec": _on(_chunk_codec),
+    "packed_transaction": _on(_packed),
+    "signature_text": lambda s, d: _lines(s, d).select("event_id", codecs.signature_text(F.concat(codecs.little(F.col("event_id") % 4, 1), F.unhex(F.sha2(F.col("event_id").cast("string"), 256)))).alias("signature")),
+    "zstd_codec": lambda s, d: _lines(s, d).select("event_id", F.when(F.col("event_id") % 2 == 0, codecs.compress(F.col("event_type").cast("binary"))).otherwise(F.col("event_type").cast("binary")).alias("raw")).select("event_id", codecs.decompress("raw").cast("string").alias("text")),
+    "record_checksums": lambda s, d: _lines(s, d).select("event_id", codecs.checksums(F.col("event_type").cast("binary")).alias("c")).select("event_id", "c.*"),
     # streams
+    "sync_mode": _on(lambda h: h.blocks.crossJoin(F.broadcast(store.state(h.blocks))).select("block_num", jobs.sync_mode(F.col("block_num"), F.col("lib")).alias("mode"))),  # state: one row
+    "stream_sync": _sync,
+    "stream_trx_ids": _stream_ids,
     "stream_catchup_contract_action": _on(lambda h: jobs.catch_up(h.actions, [CONTRACT], [ACTION, "view"])),
     "stream_catchup_single": _on(lambda h: jobs.catch_up(h.actions, receivers=[ACCOUNT], start=200)),
     "stream_catchup_multi": _on(lambda h: jobs.catch_up(h.actions, receivers=[ACCOUNT, OTHER])),
@@ -411,5 +521,10 @@ QUERIES: dict[str, Query] = {
     "v_report": _on(lambda h: integrity.report(_issues(h)).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("severity") == integrity.ERROR, F.col("n")).otherwise(0)).alias("errors")).withColumn("status", F.when(F.col("errors") > 0, "failed").otherwise("passed"))),
     "v_continuity": _on(lambda h: integrity.continuity(h.blocks)),
     "v_completeness": _on(lambda h: integrity.completeness(h.blocks, SLICE_BLOCKS)),
-    "v_missing_patterns": _on(lambda h: integrity.missing_ranges(integrity.missing_blocks(h.blocks.where("block_num % 7 > 1"))).groupBy("slice_num").agg(F.count("*").alias("ranges"), F.sum("n").alias("missing"), F.max("n").alias("longest"))),
+    "v_missing_file": _on(lambda h: integrity.missing_files(h.blocks.select("slice_num").distinct(), h.blocks.where("slice_num % 3 <> 1"))),
+    "v_empty_index": _on(lambda h: integrity.empty_slices(h.blocks.select("slice_num").distinct(), h.blocks.where("slice_num % 4 <> 2"))),
+    "v_modes": _on(_modes),
+    "v_ingest_invariants": _on(lambda h: integrity.ingest_violations(_receipts(h))),
+    "slice_digests": _on(lambda h: store.digests(h.actions)),
+    "v_missing_patterns": _on(lambda h: integrity.missing_ranges(h.blocks.where("block_num % 7 > 1")).groupBy("slice_num").agg(F.count("*").alias("ranges"), F.sum("n").alias("missing"), F.max("n").alias("longest"))),
 }

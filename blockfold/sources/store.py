@@ -1,12 +1,18 @@
-"""A stored history: opening, appending by slice, finalising, cutting back."""
+"""A stored history: opening, appending by slice, finalising, cutting back; the ABI log."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import configparser
+import json
+import time
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.codecs import parse_setabi
 from ..operators import integrity
 
 FETCH_LIMIT, BLOCK_LIMIT = 1000, 10_000
@@ -21,10 +27,47 @@ class Config:
     compression: str = "zstd"
     files_per_trigger: int = 100
 
+    @classmethod
+    def load(cls, path: str | None = None, section: str = "store", flags: Mapping[str, str] | None = None) -> Config:
+        """Settings from an INI file, over which flags go; an unknown one is an error."""
+        found: dict[str, str] = {}
+        if path:
+            parser = configparser.ConfigParser()
+            with open(path) as f:
+                parser.read_file(f)
+            found = dict(parser[section])
+        found |= {k.replace("-", "_"): v for k, v in (flags or {}).items()}
+        kinds = {f.name: int if f.type == "int" else str for f in fields(cls)}
+        if unknown := set(found) - set(kinds):
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        return cls(**{k: kinds[k](v) for k, v in found.items()})
+
+
+@dataclass
+class Trace:
+    """Steps of a request: component, what was done, seconds and rows."""
+
+    steps: list[dict] = field(default_factory=list)
+
+    @contextmanager
+    def step(self, component: str, name: str) -> Iterator[dict]:
+        entry = {"component": component, "name": name, "count": None}
+        began = time.perf_counter()
+        try:
+            yield entry
+        finally:
+            entry["seconds"] = round(time.perf_counter() - began, 6)
+            self.steps.append(entry)
+
+    def to_json(self) -> str:
+        return json.dumps({"steps": self.steps, "seconds": round(sum(s["seconds"] for s in self.steps), 6)})
+
 
 def open_blocks(spark: SparkSession, source: str, table: str = "actions", config: Config | None = None) -> DataFrame:
     """A table of a store: `stream:PATH` follows it, any other path (file, object store) reads it as it is."""
     kind, _, path = source.partition(":")
+    if kind in ("http", "https", "tcp"):
+        raise ValueError(f"no source of kind {kind!r}: histories are read from files or object stores")
     if kind != "stream":
         return spark.read.parquet(f"{source}/{table}")
     schema = spark.read.parquet(f"{path}/{table}").schema
@@ -32,10 +75,19 @@ def open_blocks(spark: SparkSession, source: str, table: str = "actions", config
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}/{table}")
 
 
-def append_actions(actions: DataFrame, config: Config) -> None:
-    """Append a batch; a new slice begins a new partition by itself."""
+def append_actions(actions: DataFrame, config: Config, batch: str | int | None = None) -> None:
+    """Append a batch; a new slice begins a new partition by itself.
+
+    A batch with a number is written once: it has partitions of its own, which
+    a repeated attempt replaces. Without one, it is appended as it is. Rows go
+    to tasks by ranges of (slice, sequence), so a large slice is many tasks.
+    """
     own = actions.withColumn("slice_num", F.floor((F.col("block_num") - 1) / config.slice_blocks).cast("long"))
-    own.repartition("slice_num").sortWithinPartitions("global_seq").write.mode("append").option("compression", config.compression).partitionBy("slice_num").parquet(f"{config.path}/actions")
+    own = own.repartitionByRange("slice_num", "global_seq").sortWithinPartitions("slice_num", "global_seq")
+    writer = own.write if batch is None else own.withColumn("batch", F.lit(str(batch))).write
+    by = ["slice_num"] if batch is None else ["slice_num", "batch"]
+    mode = "append" if batch is None else "overwrite"
+    writer.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", config.compression).partitionBy(*by).parquet(f"{config.path}/actions")
 
 
 def finalise(blocks: DataFrame, config: Config) -> DataFrame:
@@ -43,20 +95,66 @@ def finalise(blocks: DataFrame, config: Config) -> DataFrame:
     return integrity.completeness(blocks, config.slice_blocks)
 
 
+def digests(actions: DataFrame) -> DataFrame:
+    """slice_num, digest: SHA-256 over a slice's blocks in order, each by the digests of its actions in order. A slice's list has a row per block."""
+    record = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in ("global_seq", "receiver", "contract", "action"))), 256)
+    blocks = actions.groupBy("slice_num", "block_num").agg(F.array_sort(F.collect_list(F.struct("global_seq", record.alias("d")))).alias("own"))
+    blocks = blocks.select("slice_num", F.struct("block_num", F.sha2(F.array_join(F.col("own.d"), ""), 256).alias("d")).alias("b"))
+    return blocks.groupBy("slice_num").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("b"))["d"], ""), 256).alias("digest"))
+
+
+def write_finalised(actions: DataFrame, blocks: DataFrame, config: Config) -> DataFrame:
+    """The flags: complete slices with their digests, written beside the actions and returned."""
+    done = finalise(blocks, config).where("complete").join(digests(actions), "slice_num").select("slice_num", "found", "digest")
+    done.write.mode("overwrite").parquet(f"{config.path}/finalised")
+    return actions.sparkSession.read.schema(done.schema).parquet(f"{config.path}/finalised")
+
+
 def cut_after(spark: SparkSession, config: Config, last_block: int) -> None:
-    """Set the history back to a block: later slices go, the block's own slice is rewritten beside the old one first."""
-    path = f"{config.path}/actions"
+    """Set the history back to a block.
+
+    What the block's own slice keeps is written aside first, then that slice and
+    the later ones are moved aside, the new slice takes its place, and only then
+    what was moved goes. A crash leaves all rows in one of the three places; a
+    repeated call puts back what an earlier one had moved, and goes on.
+    """
+    path, aside = f"{config.path}/actions", f"{config.path}/_aside"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(conf)
+    if fs.exists(at(aside)):
+        for status in fs.listStatus(at(aside)):
+            name = status.getPath().getName()
+            fs.delete(at(f"{path}/{name}"), True)
+            fs.rename(status.getPath(), at(f"{path}/{name}"))
     rows = spark.read.parquet(path)
     last = max(0, (last_block - 1) // config.slice_blocks)
     own = rows.where((F.col("slice_num") == last) & (F.col("block_num") <= last_block))
-    own.drop("slice_num").write.mode("overwrite").parquet(f"{config.path}/_cut")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(conf)
-    for k in sorted(r[0] for r in rows.select("slice_num").distinct().collect()):  # a row per slice
-        if k >= last:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/slice_num={k}"), True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{config.path}/_cut"), jvm.org.apache.hadoop.fs.Path(f"{path}/slice_num={last}"))
+    kept = own.drop("slice_num").write.mode("overwrite")
+    (kept.partitionBy("batch") if "batch" in rows.columns else kept).parquet(f"{config.path}/_cut")
+    fs.mkdirs(at(aside))
+    for k in sorted(r[0] for r in rows.where(F.col("slice_num") >= last).select("slice_num").distinct().collect()):  # a row per slice
+        fs.rename(at(f"{path}/slice_num={k}"), at(f"{aside}/slice_num={k}"))
+    fs.rename(at(f"{config.path}/_cut"), at(f"{path}/slice_num={last}"))
+    fs.delete(at(aside), True)
+
+
+ABIS = "contract string, block_num long, ord long, abi_json string"
+
+
+def append_abis(abis: DataFrame, path: str, batch: str | int) -> None:
+    """Append entries (contract, block_num, ord, abi_json) to the ABI log; a repeated batch replaces itself."""
+    abis.select("contract", "block_num", "ord", "abi_json").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def abi_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{ABIS}, batch string").parquet(path).drop("batch")
+
+
+def rebuild_abis(actions: DataFrame, contract: str = "eosio", action: str = "setabi") -> DataFrame:
+    """The ABI log out of actions (block_num, global_seq, contract, action, data): a scan for setabi. Empty ABIs and data that do not fit add nothing."""
+    found = actions.where((F.col("contract") == contract) & (F.col("action") == action)).select("block_num", F.col("global_seq").alias("ord"), parse_setabi("data").alias("abi"))
+    return found.select("abi.contract", "block_num", "ord", "abi.abi_json").where("abi_json is not null")
 
 
 def scan_block(table: DataFrame, block: int, slice_blocks: int) -> DataFrame:

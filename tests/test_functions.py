@@ -70,3 +70,60 @@ def test_abi_decoding():
         codecs.decode(abi, "pay", data[:20])
     with pytest.raises(ValueError, match="no action"):
         codecs.decode(abi, "other", data)
+
+
+def test_chunks_of_sequences():
+    for seqs in ([5], [100, 101, 400, 10**12], list(range(7, 30_000, 13))):
+        assert codecs.decode_chunk(codecs.encode_chunk(seqs)) == seqs
+        assert codecs.decode_chunk(codecs.encode_chunk(seqs, seqs[0]), seqs[0]) == seqs
+    assert codecs.encode_chunk([300, 301, 600]) == bytes([44, 1, 0, 0, 0, 0, 0, 0, 3, 0, 0, 0, 1, 171, 2])
+    assert codecs.encode_chunk([300, 301], 300) == bytes([2, 0, 0, 0, 0, 1])
+    for bad in (b"", b"\1" * 5, codecs.encode_chunk([1, 2, 3])[:-1], bytes(12)):
+        with pytest.raises(ValueError):
+            codecs.decode_chunk(bad)
+    with pytest.raises(ValueError):
+        codecs.encode_chunk([])
+
+
+def test_signatures():
+    import hashlib
+
+    assert codecs.base58(b"") == "" and codecs.base58(b"\0\0\1") == "112" and codecs.base58(b"hello world") == "StV1DL6CwTryKyV"
+    for curve, name in enumerate(("K1", "R1", "WA")):
+        data = bytes(range(65))
+        text = codecs.signature(bytes([curve]) + data)
+        n = 0
+        for c in text.removeprefix(f"SIG_{name}_"):
+            n = n * 58 + codecs.BASE58.index(c)
+        raw = n.to_bytes(69, "big")
+        assert raw[:65] == data and raw[65:] == hashlib.new("ripemd160", data + name.encode()).digest()[:4]
+    assert codecs.signature(b"\3abc") == codecs.signature(b"") == codecs.signature(None) == ""
+
+
+def test_binary_abis():
+    text = lambda x: bytes([len(x)]) + x.encode()
+    raw = text("v1") + b"\1" + text("who") + text("name") + b"\0\1" + codecs.name_value("pay").to_bytes(8, "little") + text("pay") + text("") + b"\0\0\0\0"
+    assert codecs.unpack_abi(raw) == {
+        "version": "v1",
+        "types": [{"new_type_name": "who", "type": "name"}],
+        "actions": [{"name": "pay", "type": "pay", "ricardian_contract": ""}],
+        **{k: [] for k in ("structs", "tables", "ricardian_clauses", "error_messages", "abi_extensions")},
+    }
+    assert codecs.unpack_abi(raw + b"\1" + text("either") + b"\0")["variants"] == [{"name": "either", "types": []}]
+    with pytest.raises(ValueError):
+        codecs.unpack_abi(raw[:20])
+
+
+def test_setabi_and_bytes(spark):
+    cases = [None, b"", b"short", (7).to_bytes(8, "little"), (7).to_bytes(8, "little") + b"\0", (7).to_bytes(8, "little") + b"\x05ab"]
+    got = rows(spark, cases, "binary", codecs.parse_setabi("x"))
+    name = codecs.value_name(7)
+    assert [tuple(r[0]) for r in got] == [(None, None)] * 4 + [(name, None), (None, None)]
+    assert rows(spark, [258, 2**40 + 1, -2], "long", codecs.little(F.col("x"), 2)) == [(b"\2\1",), (b"\1\0",), (b"\xfe\xff",)]
+    assert rows(spark, [b"plain", b"", None], "binary", codecs.decompress(codecs.compress("x")), codecs.decompress("x")) == [(b"plain",) * 2, (b"",) * 2, (None,) * 2]
+
+
+def test_packed_transactions(spark):
+    action = b"\1" * 40
+    packed = codecs.packed_trx(F.lit(1), F.lit(2), F.lit(3), F.array(F.lit(action), F.lit(action)))
+    assert rows(spark, [0], "long", packed) == [("0100000002000300000000000000" + "02" + "01" * 80 + "00",)]

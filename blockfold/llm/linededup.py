@@ -190,9 +190,9 @@ def without_runs(df: DataFrame, words: int = WORDS) -> DataFrame:
     """df with `text` rid of later repeated runs, and n_lines, n_removed_lines, n_runs.
 
     Of a repeated run the place of least (doc_id, text key, line) stays, null
-    doc_ids first. Lines without words go where they stand between lines that go. Texts without a
-    repeated run, null and empty ones stay as they are (a null text has no
-    lines). A text of any length is one row and takes memory in proportion to
+    doc_ids first. Lines without words go where they stand between lines that
+    go. Texts without a repeated run, null and empty ones stay as they are (a
+    null text has no lines). A text of any length is one row and takes memory in proportion to
     its lines. Rows with the same doc_id and text count as one document and
     fare alike. An empty table stays empty. Other columns stay, whatever their
     names; those with a result's name are replaced. Lines and windows are
@@ -232,3 +232,29 @@ def without_runs(df: DataFrame, words: int = WORDS) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed_lines", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: DuckDB SQL for op6: every window as the text of its lines.
+ORACLE = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS number FROM documents WHERE text IS NOT NULL),
+n AS (SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l),
+w AS (SELECT doc_id, number, norm, len(string_split(norm, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY number) AS k FROM n WHERE norm <> ''),
+c AS (SELECT *, CAST(sum(words) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS upto FROM w),
+e AS (SELECT doc_id, k, upto, upto - words AS start, upto - words + WORDS AS enough, upto - WORDS AS most FROM c),
+spans AS (
+  SELECT a.doc_id, a.k AS i, b.k AS j FROM e a ASOF JOIN e b ON a.doc_id = b.doc_id AND a.enough <= b.upto
+  UNION
+  SELECT a.doc_id, b.k AS i, a.k AS j FROM e a ASOF JOIN e b ON a.doc_id = b.doc_id AND a.most >= b.start),
+d AS (SELECT doc_id, list(norm ORDER BY k) AS lines FROM c GROUP BY doc_id),
+runs AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY array_to_string(lines[i:j], chr(10)) ORDER BY doc_id, i) AS nth FROM spans JOIN d USING (doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS k FROM runs WHERE nth > 1),
+removed AS (
+  SELECT g.doc_id, w.number AS first, coalesce(x.number, w.number + 1) AS beyond, x.number IS NULL AS ends
+  FROM gone g JOIN w ON g.doc_id = w.doc_id AND g.k = w.k
+  LEFT JOIN (SELECT doc_id, k, number FROM gone JOIN w USING (doc_id, k)) x ON x.doc_id = g.doc_id AND x.k = g.k + 1),
+numbers AS (SELECT doc_id, unnest(range(first, beyond)) AS number FROM removed),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(r.number) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.number) FILTER (r.number IS NULL), '') AS t
+  FROM l LEFT JOIN numbers r ON l.doc_id = r.doc_id AND l.number = r.number GROUP BY l.doc_id),
+counts AS (SELECT doc_id, count(*) FILTER (ends) AS n FROM removed GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_removed, 0)::INTEGER AS n_removed_lines, coalesce(counts.n, 0)::INTEGER AS n_runs, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents LEFT JOIN kept ON documents.doc_id = kept.doc_id LEFT JOIN counts ON documents.doc_id = counts.doc_id""".replace("WORDS", str(WORDS))

@@ -122,7 +122,8 @@ def pack(df: DataFrame, tokenizer: str, spaces: bool = False, capacity: int = CA
     kept), sequence_id, offset. A null or empty text is the end token alone.
     Documents longer than a sequence are cut into full sequences and a rest;
     nothing else is cut. Rows with equal or null doc_id are separate documents.
-    Other columns are ignored; an empty table gives an empty result.
+    Other columns are ignored; an empty table gives an empty result. A text of
+    any length is encoded as one row. Ties in length are broken by doc_id.
     """
     pieces = written(pieces_of(df, tokenizer, spaces, capacity, end_id, keep_ids), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows

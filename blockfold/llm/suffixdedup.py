@@ -1,16 +1,17 @@
 """Exact substring dedup: every byte covered by a repeated string of `length` bytes is removed.
 
-Blockwise suffix sorting with a cover sample, over many machines. Of each
+Not a difference cover: a sample chosen by content stands for it, and equality
+of hashes for the order of suffixes (README says why, with figures). Of each
 string of `length` bytes (a window) one position is in the sample: that of its
 least K-byte gram by hash. Equal windows have it at the same place, which is
-what a difference cover gives for any two suffixes, with about one position in
-W/2 instead of one in eleven. The windows of one sample position form a
-segment. Then
-
-1. the sample is ranked: one bucket of grams at a time, equal grams and equal
-   segments are brought together. A gram found once ends there. A segment found
-   twice is repeated as a whole, however long the tie around it.
-2. what ties in its gram but not in its segment, is resolved window by window:
+what a difference cover gives for any two suffixes, with one position in 68
+instead of one in eleven. The windows of one sample position form a segment.
+Then, bucket by bucket, so that memory is bounded,
+
+1. equal grams of the sample and equal segments are brought together. A gram
+   found once ends there. A segment found twice is repeated as a whole, however
+   long the tie around it.
+2. what ties in its gram but not in its segment is resolved window by window:
    one bucket of windows at a time, equal ones are brought together.
 
 Chunks exchange only distinct hashes with the buckets, each at most once per
@@ -217,7 +218,7 @@ def removal(df: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool =
     A null text is empty. Texts shorter than `length` lose nothing. Of repeated
     strings, within a text or between texts, every occurrence goes, that of
     repeated rows too. Other columns are ignored; an empty table gives an empty
-    result. Cutting bytes may split a character of many bytes, so `kept` is
+    result. A text of any length is in one chunk and handled in slices. Cutting bytes may split a character of many bytes, so `kept` is
     binary.
     """
     spark = df.sparkSession
@@ -304,3 +305,18 @@ def removal(df: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool =
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal(table(spark, sf_dir, "documents"), texts=False).drop("spans")
+
+
+#: DuckDB SQL for op9: every window of 200 bytes (400 hex digits) by its digest.
+ORACLE = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 400)) AS s FROM (SELECT doc_id, h, unnest(range(greatest(length(h) // 2 - 199, 0))) AS p FROM h)),
+hits AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY s) AS n FROM windows) WHERE n > 1),
+steps AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM hits),
+islands AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM steps),
+spans AS (SELECT doc_id, min(p) AS first, max(p) + 200 AS beyond FROM islands GROUP BY doc_id, island),
+parts AS (SELECT doc_id, first, beyond, lag(beyond, 1, 0) OVER (PARTITION BY doc_id ORDER BY first) AS start FROM spans),
+kept AS (SELECT doc_id, sum(beyond - first) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * start + 1, 2 * (first - start)), '' ORDER BY first) || substr(any_value(h), 2 * max(beyond) + 1) AS k
+  FROM parts JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT h.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM h LEFT JOIN kept ON h.doc_id = kept.doc_id"""

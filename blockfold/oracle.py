@@ -141,6 +141,15 @@ _ON_HISTORY: dict[str, str] = {
     "scan_raw_actions_in_block": f"SELECT global_seq, trx_id, receiver, contract, action, array_to_string(auths, ',') AS auths FROM actions WHERE block_num = {BLOCK}",
     "notified_in_block": f"SELECT global_seq, receiver AS notified FROM actions WHERE block_num = {BLOCK}",
     "raw_actions_filtered": f"SELECT block_num, global_seq FROM actions WHERE block_num BETWEEN {FIRST} AND {LAST} AND contract = '{CONTRACT}' AND action = '{ACTION}'",
+    "scan_slice": "SELECT block_num, global_seq FROM actions WHERE slice_num = 3",
+    "store_append": "SELECT slice_num, block_num, glob_min, glob_max FROM blocks",
+    "store_finalise": f"""SELECT e.slice_num, e.n AS found, d.digest FROM edges e JOIN (
+      SELECT slice_num, sha256(string_agg(d, '' ORDER BY block_num)) AS digest FROM (SELECT slice_num, block_num, sha256(string_agg({_RECORD}, '' ORDER BY global_seq)) AS d FROM actions GROUP BY ALL) GROUP BY slice_num) d USING (slice_num)
+      WHERE e.n = CASE WHEN e.slice_num = 0 AND e.min_block = 2 THEN 99 ELSE 100 END""",
+    "store_cut": "SELECT block_num, global_seq FROM actions WHERE block_num <= 750",
+    "slice_cache": "SELECT slice_num, min(block_num) AS min_block, max(block_num) AS max_block, min(global_seq) AS glob_min, max(global_seq) AS glob_max, count(*) AS n_actions FROM actions GROUP BY slice_num",
+    "multi_key_sort": "SELECT contract, action, global_seq, account FROM account_actions WHERE account IN ('ub', 'uc') ORDER BY contract, action DESC, global_seq, account LIMIT 200",
+    "stream_process": "SELECT receiver, count(*) AS n FROM actions GROUP BY receiver",
     "trx_ids_in_block": f"SELECT trx_index, trx_id FROM transactions WHERE block_num = {BLOCK}",
     "abi_rebuild": f"SELECT contract, block_num, ord, {_abi("'v' || ord")} AS abi_json FROM abis WHERE NOT cleared",
     "abi_log_sink": "SELECT contract, block_num, ord FROM abis WHERE NOT cleared",
@@ -273,6 +282,7 @@ _ON_EVENTS: dict[str, str] = {
     "datehour_codec": f"SELECT event_id, ({_HOUR} - 262968) // 24 * 32 + ({_HOUR} - 262968) % 24 AS packed, {_HOUR} AS hour FROM events",
     "hour_to_date": f"SELECT event_id, strftime(make_timestamp({_HOUR} * 3600000000), '%Y-%m-%dT%H:%M:%SZ') AS date FROM events",
     "parse_setabi": f"SELECT event_id, event_type AS contract, CASE WHEN event_id % 7 <> 0 THEN {_abi("'v' || user_id")} END AS abi_json FROM events",
+    "can_fulfill": "SELECT unnest(range(5)) AS i, unnest([true, true, true, false, true]) AS ok",
     "body_allowed": "SELECT event_id, event_id % 5 <> 0 AS allowed FROM events",
     "zstd_codec": "SELECT event_id, event_type AS text FROM events",
     "record_checksums": f"SELECT event_id, CASE event_type {_CRCS} END AS crc32, sha256(event_type) AS sha256 FROM events",

@@ -219,11 +219,61 @@ def _sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream, folder = _streamed(spark, sf_dir)
+    _, folder = _streamed(spark, sf_dir)
+    stream = store.open_blocks(spark, f"stream:{folder}")
     jobs.process_ids(stream, lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/ids/batch={n}"), f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/ids").drop("batch")
 
 
+def _stream_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own index over batches: actions by receiver."""
+    stream, folder = _streamed(spark, sf_dir)
+    own = lambda df, n: df.groupBy("receiver").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/own/batch={n}")
+    jobs.process(stream, own, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/own").groupBy("receiver").agg(F.sum("n").alias("n"))
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> store.Config:
+    """A store of all actions, appended in two batches, one of them twice."""
+    config = store.Config(work_folder(spark), SLICE_BLOCKS)
+    actions = history(spark, sf_dir).actions.drop("slice_num")
+    for batch, own in ((0, "block_num <= 700"), (1, "block_num > 700"), (1, "block_num > 700")):
+        store.append_actions(actions.where(own), config, batch)
+    return config
+
+
+def _store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store.open_blocks(spark, _appended(spark, sf_dir).path)
+    return store.rebuild_block_index(rows).select(F.col("slice_num").cast("long").alias("slice_num"), "block_num", "glob_min", "glob_max")
+
+
+def _store_finalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = _appended(spark, sf_dir)
+    rows = store.open_blocks(spark, config.path).withColumn("slice_num", F.col("slice_num").cast("long"))
+    return store.write_finalised(rows, History(rows).blocks, config)
+
+
+def _store_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = _appended(spark, sf_dir)
+    store.cut_after(spark, config, 750)
+    return store.open_blocks(spark, config.path).select("block_num", "global_seq")
+
+
+def _slice_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache of a store that grew after it was made."""
+    config = store.Config(work_folder(spark), SLICE_BLOCKS)
+    actions = history(spark, sf_dir).actions.drop("slice_num")
+    store.append_actions(actions.where("block_num <= 750"), config, 0)
+    store.refresh_slices(spark, config.path)
+    store.append_actions(actions.where("block_num > 750"), config, 1)
+    return store.refresh_slices(spark, config.path)
+
+
+def _can_fulfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = [([], []), (["ca"], []), (["ca"], ["ca", "cb"]), (["ca", "cz"], ["ca", "cb"]), ([], ["ca"])]
+    return spark.createDataFrame([(i, filters.can_fulfill(*c)) for i, c in enumerate(cases)], "i long, ok boolean")
+
+
 def _receipts(h: History) -> DataFrame:
     """Actions with their receipts' receiver and authorization sequences, some of them wrong."""
     seq = F.col("global_seq")
@@ -374,6 +424,11 @@ QUERIES: dict[str, Query] = {
     "scan_raw_actions_in_block": _on(lambda h: store.scan_block(h.actions, BLOCK, SLICE_BLOCKS).orderBy("global_seq").select("global_seq", "trx_id", "receiver", "contract", "action", F.array_join("auths", ",").alias("auths"))),
     "notified_in_block": _on(lambda h: store.scan_block(h.actions, BLOCK, SLICE_BLOCKS).select("global_seq", F.array_join(F.array("receiver"), ",").alias("notified"))),
     "raw_actions_filtered": _on(lambda h: store.scan_range(h.actions, FIRST, LAST, SLICE_BLOCKS).where((F.col("contract") == CONTRACT) & (F.col("action") == ACTION)).select("block_num", "global_seq")),
+    "scan_slice": _on(lambda h: store.scan_slice(h.actions, 3).select("block_num", "global_seq")),
+    "store_append": _store_append,
+    "store_finalise": _store_finalise,
+    "store_cut": _store_cut,
+    "slice_cache": _slice_cache,
     "trx_ids_in_block": _on(lambda h: store.scan_block(h.transactions, BLOCK, SLICE_BLOCKS).select("trx_index", "trx_id")),
     "abi_rebuild": _on(lambda h: store.rebuild_abis(_raw_actions(h))),
     "abi_log_sink": _abi_sink,
@@ -386,6 +441,7 @@ QUERIES: dict[str, Query] = {
     "filter_include_contracts": _on(lambda h: _seqs(h.actions.where(filters.included(["ca", "cd"])))),
     "filter_combined": _on(lambda h: _seqs(h.actions.where(filters.combined(PATTERNS, ["cb", "cd", "ce"])))),
     "filter_stream": _on(lambda h: _seqs(h.actions.where(filters.stream_matches([CONTRACT], [ACTION, "view"], [ACCOUNT, CONTRACT])))),
+    "can_fulfill": _can_fulfill,
     "could_match": _on(lambda h: _seqs(h.actions.where(filters.could_match(SUBSCRIPTIONS)))),
     "body_allowed": lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", filters.body_allowed(F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"account_name":"x","extra":'), "props", F.lit("}"))).otherwise(F.col("props")), ["k", "account_name"]).alias("allowed")),
     "executions": _on(lambda h: _seqs(canonical.executions(h.actions))),
@@ -457,6 +513,7 @@ QUERIES: dict[str, Query] = {
     "get_actions_pos_offset": _truth_table,
     "cursor_codec": _cursor,
     "has_prev": _paged(_has_prev),
+    "multi_key_sort": _on(lambda h: h.account_actions.where("account in ('ub', 'uc')").select("contract", "action", "global_seq", "account").orderBy("contract", F.desc("action"), "global_seq", "account").limit(200)),
     "order_by_seq": _on(lambda h: h.actions.where(F.col("trx_id").isin(_probe_trx(h))).orderBy("global_seq").select("trx_id", "global_seq")),
     # sets
     "merge_dedupe": _on(lambda h: sets.merge_dedupe(_account(h), _account(h, CONTRACT, account=CONTRACT))),
@@ -503,6 +560,7 @@ QUERIES: dict[str, Query] = {
     "sync_mode": _on(lambda h: h.blocks.crossJoin(F.broadcast(store.state(h.blocks))).select("block_num", jobs.sync_mode(F.col("block_num"), F.col("lib")).alias("mode"))),  # state: one row
     "stream_sync": _sync,
     "stream_trx_ids": _stream_ids,
+    "stream_process": _stream_process,
     "stream_catchup_contract_action": _on(lambda h: jobs.catch_up(h.actions, [CONTRACT], [ACTION, "view"])),
     "stream_catchup_single": _on(lambda h: jobs.catch_up(h.actions, receivers=[ACCOUNT], start=200)),
     "stream_catchup_multi": _on(lambda h: jobs.catch_up(h.actions, receivers=[ACCOUNT, OTHER])),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.codecs import parse_setabi
 from ..operators import integrity
 
-FETCH_LIMIT, BLOCK_LIMIT = 1000, 10_000
+BLOCK_LIMIT = 10_000
 
 
 @dataclass(frozen=True)
@@ -162,6 +162,11 @@ def scan_block(table: DataFrame, block: int, slice_blocks: int) -> DataFrame:
     return table.where((F.col("slice_num") == max(0, (block - 1) // slice_blocks)) & (F.col("block_num") == block))
 
 
+def scan_slice(table: DataFrame, number: int) -> DataFrame:
+    """All rows of a slice: one partition's files, read in parallel."""
+    return table.where(F.col("slice_num") == number)
+
+
 def scan_range(table: DataFrame, first: int, last: int, slice_blocks: int) -> DataFrame:
     if last - first >= BLOCK_LIMIT:
         raise ValueError(f"at most {BLOCK_LIMIT} blocks")
@@ -178,5 +183,36 @@ def first_available(blocks: DataFrame, block: int) -> DataFrame:
     return blocks.where(F.col("block_num") >= block).agg(F.min("block_num").alias("block_num"))
 
 
+def slice_metadata(actions: DataFrame) -> DataFrame:
+    return actions.groupBy(F.col("slice_num").cast("long").alias("slice_num")).agg(
+        F.min("block_num").alias("min_block"), F.max("block_num").alias("max_block"), F.min("global_seq").alias("glob_min"), F.max("global_seq").alias("glob_max"), F.count("*").alias("n_actions")
+    )
+
+
+def refresh_slices(spark: SparkSession, path: str) -> DataFrame:
+    """The cached metadata of a store's slices, brought up to date.
+
+    Slices that are cached are not read again but for the last, which may have
+    grown. The new cache is a folder of its own; the old one goes when it is
+    complete.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = spark.read.parquet(f"{path}/actions")
+    old = sorted(s.getPath().getName() for s in fs.listStatus(at(path)) if s.getPath().getName().startswith("slices_") and fs.exists(at(f"{s.getPath()}/_SUCCESS")))
+    if old:
+        known = spark.read.parquet(f"{path}/{old[-1]}")
+        last = known.agg(F.max("slice_num")).first()[0]
+        # slices come in order, so all beyond the last cached one are new
+        made = known.where(F.col("slice_num") < last).unionByName(slice_metadata(rows.where(F.col("slice_num") >= last)))
+    else:
+        made = slice_metadata(rows)
+    name = f"slices_{int(old[-1].partition('_')[2]) + 1 if old else 0:010d}"
+    made.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")  # a row per slice
+    for x in old:
+        fs.delete(at(f"{path}/{x}"), True)
+    return spark.read.parquet(f"{path}/{name}")
+
+
 def rebuild_block_index(actions: DataFrame) -> DataFrame:
     return actions.groupBy("slice_num", "block_num").agg(F.min("global_seq").alias("glob_min"), F.max("global_seq").alias("glob_max"))

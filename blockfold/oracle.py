@@ -112,6 +112,15 @@ def _little(number: str, size: int) -> str:
     return "(" + " || ".join(f"substr(printf('%016x', {number}), {15 - 2 * k}, 2)" for k in range(size)) + ")"
 
 
+def _name(name: str) -> str:
+    """Hex of a name's value in little-endian order."""
+    value = f"(SELECT sum((instr('.12345abcdefghijklmnopqrstuvwxyz', substr({name}, i, 1)) - 1)::HUGEINT * (1::HUGEINT << CAST(4 + 5 * (12 - i) AS INTEGER))) FROM unnest(range(1, length({name}) + 1)) AS t(i))"
+    return "(SELECT " + " || ".join(f"printf('%02x', CAST((v // {256**k}::HUGEINT) % 256 AS INTEGER))" for k in range(8)) + f" FROM (SELECT {value} AS v))"
+
+
+_RAW = f"{_name("'click'")} || {_name('event_type')} || '01' || {_name("'view'")} || {_name("'error'")} || printf('%02x', length(CAST({_QUANTITY} AS VARCHAR))) || lower(hex(CAST({_QUANTITY} AS VARCHAR)))"
+_ACTION = f"{_name('contract')} || {_name('action')} || '01' || {_name('receiver')} || {_name("'active'")} || '08' || {_little('quantity', 8)}"
+_ZIGZAG = "CASE WHEN event_id >= 300 THEN (event_id - 300) * 2 ELSE (300 - event_id) * 2 - 1 END"
 _LEAD = "lead AS (SELECT DISTINCT slice_num FROM thin ORDER BY slice_num LIMIT 2), own AS (SELECT thin.* FROM thin JOIN lead USING (slice_num))"
 _MODES = f"""{_LEAD},
 steps AS (SELECT *, lag(block_num) OVER w AS prev, lag(glob_max) OVER w AS prev_max FROM own WINDOW w AS (PARTITION BY slice_num ORDER BY block_num)),
@@ -155,6 +164,8 @@ _ON_HISTORY: dict[str, str] = {
     "abi_log_sink": "SELECT contract, block_num, ord FROM abis WHERE NOT cleared",
     "could_match": "SELECT global_seq FROM actions WHERE (contract = 'cd' AND receiver = contract) OR (action = 'click' AND receiver = 'ub') OR (contract = 'ca' AND action = 'view' AND receiver IN ('uc', 'ca'))",
     "chunk_codec": f"SELECT account, p AS chunk, string_agg(CAST(global_seq AS VARCHAR), ',' ORDER BY global_seq) AS seqs, string_agg(CAST(global_seq AS VARCHAR), ',' ORDER BY global_seq) AS lean_seqs, {_little('min(global_seq)', 8)} || {_little('count(*)', 4)} AS head FROM (SELECT *, (row_number() OVER (PARTITION BY account ORDER BY global_seq) - 1) // 10000 AS p FROM account_actions) GROUP BY account, p",
+    "packed_transaction": f"""SELECT trx_id, {_little('block_num + 1700000000', 4)} || {_little('block_num % 65536', 2)} || {_little('block_num * 3', 4)} || '00000000' || printf('%02x', count(*)) || string_agg(raw, '' ORDER BY global_seq) || '00' AS packed
+      FROM (SELECT trx_id, block_num, global_seq, {_ACTION} AS raw FROM actions WHERE creator_ordinal = 0) GROUP BY trx_id, block_num""",
     "sync_mode": "SELECT block_num, CASE WHEN block_num + 1000 < (SELECT max(block_num) FROM blocks) THEN 'bulk' ELSE 'live' END AS mode FROM blocks",
     "stream_sync": "SELECT contract, count(*) AS n FROM actions GROUP BY contract",
     "stream_trx_ids": "SELECT block_num, trx_index, trx_id FROM transactions",
@@ -284,6 +295,11 @@ _ON_EVENTS: dict[str, str] = {
     "parse_setabi": f"SELECT event_id, event_type AS contract, CASE WHEN event_id % 7 <> 0 THEN {_abi("'v' || user_id")} END AS abi_json FROM events",
     "can_fulfill": "SELECT unnest(range(5)) AS i, unnest([true, true, true, false, true]) AS ok",
     "body_allowed": "SELECT event_id, event_id % 5 <> 0 AS allowed FROM events",
+    "action_bytes": f"SELECT event_id, {_RAW} AS raw FROM events",
+    "action_digest": f"SELECT event_id, sha256(unhex(raw)) AS digest FROM (SELECT event_id, {_RAW} AS raw FROM events)",
+    "varint_codec": f"""SELECT event_id, CASE WHEN z < 128 THEN printf('%02x', z) WHEN z < 16384 THEN printf('%02x%02x', z % 128 + 128, z // 128)
+      WHEN z < 2097152 THEN printf('%02x%02x%02x', z % 128 + 128, z // 128 % 128 + 128, z // 16384) ELSE printf('%02x%02x%02x%02x', z % 128 + 128, z // 128 % 128 + 128, z // 16384 % 128 + 128, z // 2097152) END AS raw,
+      event_id - 300 AS n FROM (SELECT event_id, {_ZIGZAG} AS z FROM events)""",
     "zstd_codec": "SELECT event_id, event_type AS text FROM events",
     "record_checksums": f"SELECT event_id, CASE event_type {_CRCS} END AS crc32, sha256(event_type) AS sha256 FROM events",
     "abi_decode": """SELECT event_id, '{"from":"' || event_type || '","memo":"' || event_type || '","n":' || event_id || '}' AS decoded FROM events""",

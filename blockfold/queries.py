@@ -170,7 +170,7 @@ def _setabi_data(contract: Column, version: Column, empty: Column) -> Column:
 
 def _raw_actions(h: History) -> DataFrame:
     """Actions with binary data: the ABI log's entries as setabi of the system contract, all others with their quantity."""
-    set_ = h.abis.select("block_num", F.col("ord").alias("global_seq"), F.lit("eosio").alias("contract"), F.lit("setabi").alias("action"), _setabi_data(F.col("contract"), F.concat(F.lit("v"), F.col("ord").cast("string")), F.col("cleared")).alias("data"))
+    set_ = h.abis.select("block_num", F.col("ord").alias("global_seq"), F.lit(store.SYSTEM_CONTRACT).alias("contract"), F.lit(store.SET_ABI).alias("action"), _setabi_data(F.col("contract"), F.concat(F.lit("v"), F.col("ord").cast("string")), F.col("cleared")).alias("data"))
     return h.actions.select("block_num", "global_seq", "contract", "action", codecs.little(F.col("quantity"), 8).alias("data")).unionByName(set_)
 
 

@@ -151,7 +151,11 @@ def abi_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{ABIS}, batch string").parquet(path).drop("batch")
 
 
-def rebuild_abis(actions: DataFrame, contract: str = "eosio", action: str = "setabi") -> DataFrame:
+#: The system contract, and its action that sets an ABI.
+SYSTEM_CONTRACT, SET_ABI = "eosio", "setabi"
+
+
+def rebuild_abis(actions: DataFrame, contract: str = SYSTEM_CONTRACT, action: str = SET_ABI) -> DataFrame:
     """The ABI log out of actions (block_num, global_seq, contract, action, data): a scan for setabi. Empty ABIs and data that do not fit add nothing."""
     found = actions.where((F.col("contract") == contract) & (F.col("action") == action)).select("block_num", F.col("global_seq").alias("ord"), parse_setabi("data").alias("abi"))
     return found.select("abi.contract", "block_num", "ord", "abi.abi_json").where("abi_json is not null")

@@ -17,8 +17,9 @@ Under a shingle of more than FEW texts, pairs are not made but within a task,
 block by block, from parity bitmaps: the bits of a set's shingles added up
 modulo 2. Two bitmaps differ in no more bits than their sets in shingles, so a
 pair whose bitmaps differ in more than (1 - s) / (1 + s) of the sets' sizes
-together is none, and only the others leave the task. These are few beyond the
-similar pairs themselves, however many texts a common passage has.
+together is none, and only the others leave the task, each from the least of
+such shingles that both have. These are few beyond the similar pairs
+themselves, however many texts a common passage has.
 """
 
 from __future__ import annotations
@@ -39,14 +40,14 @@ SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 200_000
 EPS = 1e-9
 #: Texts under a shingle up to which pairs are rows at once; beyond that they are compared in pairs of blocks of at most BLOCK.
 FEW, BLOCK = 16, 4096
-#: Bits of a parity bitmap: about twice the shingles, a power of two within these bounds.
+#: Bits of a parity bitmap: four times the shingles or more, a power of two within these bounds.
 LEAST_BITS, MOST_BITS = 256, 8192
 
 
 def parity(sets: np.ndarray) -> np.ndarray:
     """The parity bitmap of a set of hashes, as 64-bit words."""
     bits = LEAST_BITS
-    while bits < min(2 * len(sets), MOST_BITS):
+    while bits < min(4 * len(sets), MOST_BITS):
         bits *= 2
     odd = np.bincount((sets & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
@@ -185,14 +186,18 @@ def links(df: DataFrame, words: int, similarity: float) -> DataFrame:
                 good.append(both >= similarity * (len(x) + len(y) - both) - EPS)
             yield batch.select(link_out.names).filter(pa.array(good, pa.bool_())).cast(link_out)
 
-    def verify(shares: DataFrame, name: str) -> DataFrame:
-        """Of SHARES, a row per shared key, the pairs that are similar enough."""
+    def likely(shares: DataFrame) -> DataFrame:
+        """u, v of the pairs of SHARES, a row per shared key, that share keys enough."""
         n, m = F.col("n_u"), F.col("n_v")
         ends_first = F.struct(F.col("times_u").alias("t"), F.col("last_u").alias("l")) <= F.struct(F.col("times_v").alias("t"), F.col("last_v").alias("l"))
         least = similarity / (1 + similarity) * (n + m) - EPS
         behind = F.ceil(similarity * F.when(ends_first, n).otherwise(m) - EPS) - 1
         pairs = shares.where(F.least(n, m) >= least).groupBy("u", "v").agg(F.count("*").alias("c"), F.first(behind).alias("behind"), F.first(least).alias("least"))
-        pairs = written(pairs.where(F.col("c") + F.col("behind") >= F.col("least")).select("u", "v"), f"{name}_pairs")
+        return pairs.where(F.col("c") + F.col("behind") >= F.col("least")).select("u", "v")
+
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that are similar enough."""
+        pairs = written(pairs, f"{name}_pairs")
         involved = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
         sets = written(texts.join(involved, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(bodies, set_schema), f"{name}_sets")
         a = sets.select(F.col("node").alias("u"), F.col("fp").alias("fp_u"), F.col("body").alias("body_u"))
@@ -204,8 +209,8 @@ def links(df: DataFrame, words: int, similarity: float) -> DataFrame:
         return rows.select("key", *(F.col(c).alias(x) for c, x in own.items()))
 
     names = ["u", "v", "n_u", "n_v", "times_u", "last_u", "times_v", "last_v"]
-    share_schema = "u long, v long, n_u int, n_v int, times_u int, last_u long, times_v int, last_v long"
-    share_out = arrow(share_schema)
+    pair_schema = "u long, v long"
+    pair_out = arrow(pair_schema)
     bit_schema = "node long, bits binary"
     bit_out = arrow(bit_schema)
 
@@ -218,27 +223,32 @@ def links(df: DataFrame, words: int, similarity: float) -> DataFrame:
         """The pairs of a key, or of two blocks of its texts, that sizes and bitmaps allow."""
         own = [np.frombuffer(b, np.uint64) for b in group["bits"].to_pylist()]
         i, j = close_pairs(group["n"].to_numpy().astype(np.int64), group["own"].to_numpy(), group["root"].to_numpy(), own, similarity)
-        node = group["node"].to_numpy()
-        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-        u, v = group.take(i), group.take(j)
-        return pa.table([u["node"], v["node"], u["n"], v["n"], u["last_times"], u["last"], v["last_times"], v["last"]], schema=share_out)
+        node, keys = group["node"].to_numpy(), group["keys"].to_pylist()
+        here = group["key"][0].as_py() if len(group) else 0
+        before = [frozenset(k for k in x if k < here) for x in keys]
+        once = np.fromiter((before[a].isdisjoint(before[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+        i, j = i[once], j[once]
+        return pa.table([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], schema=pair_out)
 
     hub = [F.col(c).alias(x) for c, x in zip(["hub", "node", "hub_n", "n", "hub_times", "hub_last", "last_times", "last"], names, strict=True)]
-    found = verify(shared.where("node <> hub").select(*hub), "first")
+    found = verify(likely(shared.where("node <> hub").select(*hub)), "first")
     roots = written(components(found.select("u", "v")), "reached")
     placed = shared.select(*key_out.names, "m").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # keys with one component left need no more
     open_keys = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     left = written(placed.join(open_keys, "key", "left_semi"), "left")
     few = left.where(F.col("m") <= FEW)
-    shares = side(few, "u").join(side(few, "v"), "key").where("u < v and root_u <> root_v").select(*names)
+    # pairs that meet under a shingle of many texts as well may be missed here, but not there
+    pairs = likely(side(few, "u").join(side(few, "v"), "key").where("u < v and root_u <> root_v").select(*names))
     many = left.where(F.col("m") > FEW)
     if not many.isEmpty():
-        bits = written(texts.join(many.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(bitmaps, bit_schema), "bitmaps")
-        n = F.ceil(F.col("m") / BLOCK).cast("int")
-        dealt = many.join(bits, "node").withColumn("n_blocks", n).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+        keys_of = many.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a part of the node's own prefix
+        bits = texts.join(many.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(bitmaps, bit_schema)
+        bits = written(bits.join(keys_of, "node"), "bitmaps")
+        dealt = many.join(bits, "node").withColumn("n_blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n", "last_times", "last", "root", "bits")
-        shares = shares.union(dealt.groupBy("key", "a", "b").applyInArrow(compared, share_schema))
-    more = verify(shares, "rest")
+        dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "n", "root", "bits", "keys")
+        pairs = pairs.union(dealt.groupBy("key", "a", "b").applyInArrow(compared, pair_schema)).distinct()
+    more = verify(pairs, "rest")
     return found.union(more).select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v"))

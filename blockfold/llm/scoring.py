@@ -146,7 +146,7 @@ def make_filter(pairs: np.ndarray, counts: np.ndarray) -> bytes:
 class Filter:
     """Stretches of some buckets, for look-ups of arrays of pairs."""
 
-    def __init__(self, stretches: dict[int, bytes], buckets: int):
+    def __init__(self, stretches: dict[int, bytes | pa.Buffer], buckets: int):
         self.buckets = buckets
         self.sizes = np.zeros(buckets, np.int64)
         for k, body in stretches.items():
@@ -235,7 +235,9 @@ def score(df: DataFrame, weight: float = LAMBDA, max_filter: int = MAX_FILTER) -
     size = stretches.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
     source = with_side(chunks, found.where((F.col("kind") == TOKENS) & (F.col("chunk") >= 0)), "counts")
     if size <= max_filter:
-        shared = spark.sparkContext.broadcast(Filter({r.bucket: bytes(r.body) for r in stretches.collect()}, buckets))  # at most max_filter bytes
+        held = stretches.toArrow()  # at most max_filter bytes
+        shared = spark.sparkContext.broadcast(Filter({k: body.as_buffer() for k, body in zip(held["bucket"].to_pylist(), held["body"], strict=True)}, buckets))
+        del held
     else:
         shared = None
         source = with_side(source, asked(chunks, stretches, buckets), "answers")

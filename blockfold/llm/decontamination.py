@@ -115,12 +115,13 @@ def byte_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<begin: long, end: long>>"
+KEPT = ", kept string"
 
 
-def _search(df: DataFrame, p: Phrases, extra: list[str]) -> DataFrame:
+def _search(df: DataFrame, p: Phrases, extra: list[str], cut: bool = False) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(p)
     columns = [df.schema[c] for c in extra]
-    schema = SCHEMA + "".join(f", {f.name} {f.dataType.simpleString()}" for f in columns)
+    schema = SCHEMA + "".join(f", {f.name} {f.dataType.simpleString()}" for f in columns) + KEPT * cut
     out = arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,16 +135,18 @@ def _search(df: DataFrame, p: Phrases, extra: list[str]) -> DataFrame:
             hit, items = occurrences(docs, p)
             at = doc = 0
             for batch in held:
-                rows = []
+                rows, kept = [], []
                 for text in batch["text"].to_pylist():
                     own = hit[at : at + len(docs[doc])]
                     at += len(own)
                     spans = byte_spans(text, own) if own.any() else []
                     rows.append((len(own), int(own.sum()), sorted({p.item_ids[k] for k in items[doc]} - {None}), [{"begin": a, "end": b} for a, b in spans]))
+                    if cut:
+                        kept.append(cut_spans(text, rows[-1][3]))
                     doc += 1
                 columns = zip(*rows, strict=True) if rows else [[]] * 4
                 made = [pa.array(c, out.field(k + 1).type) for k, c in enumerate(columns)]
-                yield pa.record_batch([batch["doc_id"], *made, *(batch[c] for c in extra)], schema=out)
+                yield pa.record_batch([batch["doc_id"], *made, *(batch[c] for c in extra), *[pa.array(kept, pa.string())] * cut], schema=out)
 
         for batch in small(batches):
             for text in batch["text"].to_pylist():
@@ -161,12 +164,14 @@ def _search(df: DataFrame, p: Phrases, extra: list[str]) -> DataFrame:
     return df.select(*keep).mapInArrow(run, schema)
 
 
-def search(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, extra: tuple[str, ...] = ()) -> DataFrame:
+def search(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, extra: tuple[str, ...] = (), cut: bool = False) -> DataFrame:
     """Per row of df (doc_id, text): n_words, n_hit, items (ids of items with an occurring window), byte spans to remove.
 
     Null, empty and wordless texts have no words and no hits; items without
     words have no windows, one without an id hits but is not listed. Repeated rows give a row each; of further columns
-    those in `extra` are carried along. An empty benchmark hits nothing. The
+    those in `extra` are carried along. With `cut` there is a column `kept`
+    besides, the text without its spans, made where the spans are found: a task
+    that cut them afterwards would hold a second Python worker. An empty benchmark hits nothing. The
     benchmark is searched for in blocks of some BLOCK_WORDS words (a longer item
     is a block of its own), which go to the driver and the workers one at a
     time; beyond one, the blocks' results of a document are joined by a row
@@ -176,13 +181,13 @@ def search(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, extra: tup
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).select("*", F.coalesce(words, F.lit(0)).alias("n"))
     total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if total <= BLOCK_WORDS:
-        return _search(df, block_of(items, window), list(extra))
+        return _search(df, block_of(items, window), list(extra), cut)
     # dealt by hash, half full on average
     n = -(-2 * total // BLOCK_WORDS)
     number = F.when(F.col("n") > BLOCK_WORDS // 2, F.concat(F.lit("item "), F.xxhash64("item_id", "text").cast("string"))).otherwise(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("string"))
     dealt = written(items.withColumn("block", number), "items")
     names = [r[0] for r in dealt.select("block").distinct().orderBy("block").collect()]  # a row per block
-    return _many(df, [dealt.where(F.col("block") == x) for x in names], window, extra)
+    return _many(df, [dealt.where(F.col("block") == x) for x in names], window, extra, cut)
 
 
 def block_of(items: DataFrame, window: int) -> Phrases:
@@ -190,7 +195,7 @@ def block_of(items: DataFrame, window: int) -> Phrases:
     return phrases([(r.item_id, r.text) for r in items.select("item_id", "text").collect()], window)
 
 
-def _many(df: DataFrame, blocks: list[DataFrame], window: int, extra: tuple[str, ...]) -> DataFrame:
+def _many(df: DataFrame, blocks: list[DataFrame], window: int, extra: tuple[str, ...], cut: bool) -> DataFrame:
     own = fresh(df, "row")["row"]
     rows = written(df.withColumn(own, F.monotonically_increasing_id()), "rows")
     parts = [written(_search(rows, block_of(b, window), [own]).where(("n_hit > 0") if k else "true"), "hits") for k, b in enumerate(blocks)]
@@ -218,9 +223,10 @@ def _many(df: DataFrame, blocks: list[DataFrame], window: int, extra: tuple[str,
                 hits.append(int(flag.sum()))
                 spans.append([{"begin": a, "end": b} for a, b in byte_spans(text, flag)] if found else [])
             made = [batch["doc_id"], batch["n_words"], pa.array(hits, pa.int64()), batch["items"], pa.array(spans, out.field("spans").type)]
-            yield pa.record_batch([*made, *(batch[c] for c in extra)], schema=out)
+            kept = [pa.array([cut_spans(t, s) for t, s in zip(batch["text"].to_pylist(), spans, strict=True)], pa.string())] if cut else []
+            yield pa.record_batch([*made, *(batch[c] for c in extra), *kept], schema=out)
 
-    schema = SCHEMA + "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in extra)
+    schema = SCHEMA + "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in extra) + KEPT * cut
     out = arrow(schema)
     return merged.join(rows.drop("doc_id", "n_words", "items", "spans"), own).mapInArrow(union, schema)
 

@@ -7,14 +7,11 @@ return the columns of documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockfold.llm import decontamination, linededup, packing, quality, simhash
-from blockfold.llm.common import arrow, table, work_folder
+from blockfold.llm.common import table, work_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Overlap of five-word shingles (Jaccard) from which documents are near-duplicates.
@@ -46,17 +43,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside benchmark passages go, with what stands between them."""
-    found = decontamination.search(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), extra=("text", "lang", "source", "n_chars"))
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    out = arrow(schema)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [decontamination.cut_spans(t, s) for t, s in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True)]
-            chars = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-            yield pa.record_batch([batch["doc_id"], pa.array(texts, pa.string()), batch["lang"], batch["source"], chars], schema=out)
-
-    return found.select("doc_id", "text", "spans", "lang", "source").mapInArrow(cut, schema)
+    found = decontamination.search(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), extra=("lang", "source"), cut=True)
+    return found.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

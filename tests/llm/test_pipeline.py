@@ -136,3 +136,20 @@ def test_stages(spark, folder, tmp_path):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).where("piece = 0").count() > 30
+
+
+def test_cutting_passages_takes_one_python_worker(spark, folder, monkeypatch):
+    """A task with one Python step after another holds a worker for each, and all of them stay with the executor."""
+    path, texts, item, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    plan = corpus_pipeline.decontaminate(spark, docs, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    bench = spark.createDataFrame([(1, item), (2, texts[0][:100]), (3, None)], "item_id long, text string")
+    got = {}
+    for most in (decontamination.BLOCK_WORDS, 12):
+        monkeypatch.setattr(decontamination, "BLOCK_WORDS", most)
+        rows = decontamination.search(docs, bench, extra=("text",), cut=True).collect()
+        assert all(r.kept == decontamination.cut_spans(r.text, r.spans) for r in rows)
+        got[most] = {r.doc_id: r.kept for r in rows}
+    assert len({repr(sorted(x.items())) for x in got.values()}) == 1
+    assert got[12] == texts | {d: got[12][d] for d in (0, 40, 43, 51)} and got[12][51] == "" and item not in got[12][43]

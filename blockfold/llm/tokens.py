@@ -27,6 +27,7 @@ _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Byte-level models write a byte as one printable character: itself, or the next free one from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = dict(zip(_PRINTABLE, _PRINTABLE, strict=True)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+_SPACE = chr(_BYTE_CHARS[32])
 
 
 class _Cache(dict):
@@ -41,7 +42,7 @@ class _Cache(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            core = word.rstrip(_TAIL)
+            core = word if word.isalpha() else word.rstrip(_TAIL)
             if word[:1] == "\n" and self.prefix:
                 ids = self.tails["\n"] + (self.tails[word[1:]] if len(word) > 1 else b"")
             elif core != word and core[-1:].isascii() and core[-1:].isalnum():  # lower-casing another letter may end it in a mark
@@ -74,6 +75,8 @@ class WordEncoder:
         self.mark = start[: len(start) - len(start.lstrip(_TAIL))]
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.spaces = spaces
+        #: Each id as it is written.
+        self.written = [x.tobytes() for x in np.arange(max(self.tokenizer.get_vocab().values()) + 1, dtype="<u4")]
         self.plain = _Cache(self._encode, "", None, most // 4 if spaces else most)
         self.spaced = _Cache(self._encode, " ", self.plain, most) if spaces else self.plain
 
@@ -82,9 +85,14 @@ class WordEncoder:
         if word.isalpha():  # one piece: straight to the model
             if self.normalizer is not None:
                 text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
-            if self.normalizer is None or text.isalpha():
+            if self.normalizer is None and word.isascii():  # letters are their own bytes' characters
+                mapped = text if text is word else _SPACE + word
+            elif self.normalizer is None or text.isalpha():
                 mapped = text.encode().decode("latin-1").translate(_BYTE_CHARS)
-                return np.asarray([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            else:
+                mapped = None
+            if mapped is not None:
+                return b"".join([self.written[t.id] for t in self.model.tokenize(mapped)])
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
@@ -102,10 +110,12 @@ class WordEncoder:
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
+#: Words a generation where line feeds and spaces have ids; every word that is dropped too early costs an encoding.
+MOST_SPACED = 800_000
 
 
 def encoder(path: str, spaces: bool) -> WordEncoder:
     """One encoder per Python worker: its cache outlives a task."""
     if (path, spaces) not in _ENCODERS:
-        _ENCODERS[path, spaces] = WordEncoder(path, spaces)
+        _ENCODERS[path, spaces] = WordEncoder(path, spaces, MOST_SPACED) if spaces else WordEncoder(path, spaces)
     return _ENCODERS[path, spaces]

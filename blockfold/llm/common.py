@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,6 +26,14 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Free memory of this process back to the system, at the end of a task: a Python worker stays, beside the next task's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> dict[str, str]:
     """For each name one that no column of df has."""
     taken = {c.lower() for c in df.columns}
@@ -98,4 +107,4 @@ def arrow(schema: str) -> pa.Schema:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
-__all__ = ["ARROW_ROWS", "Query", "arrow", "fresh", "id_key", "numbered", "partitions", "small", "table", "text_key", "work_folder", "written"]
+__all__ = ["ARROW_ROWS", "Query", "arrow", "fresh", "give_back", "id_key", "numbered", "partitions", "small", "table", "text_key", "work_folder", "written"]

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, id_key, partitions, small, table, text_key, work_folder, written
+from .common import arrow, give_back, id_key, partitions, small, table, text_key, work_folder, written
 from .packing import tokenizer_path
 from .tokens import encoder
 
@@ -70,6 +70,7 @@ def encoded(df: DataFrame, tokenizer: str, spaces: bool, end_id: int, dictionary
             if narrow:
                 ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
             yield pa.record_batch([batch["doc_id"], n, pa.array([middle(x, cut) if cut else shrink(x) for x in ids], pa.binary())], schema=out)
+        give_back()
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, schema)
 
@@ -129,6 +130,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, spaces: bool = True, end
                 parts.append(frame)
         if entries:
             yield flush()
+        give_back()
 
     dealt.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
@@ -166,6 +168,7 @@ def read_ids(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame
                     *[pa.array(ids, pa.binary())] * keep_ids,
                 ]
                 yield pa.record_batch(columns, schema=out)
+        give_back()
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = blocks.mapInArrow(_totals, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n"))

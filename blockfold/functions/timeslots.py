@@ -12,8 +12,13 @@ EPOCH_MS, SLOT_MS = 946_684_800_000, 500
 EPOCH_HOURS = EPOCH_MS // 3_600_000
 
 
+def time_text(at: Column, pattern: str) -> Column:
+    """date_format by a pattern that begins with the year; years of more than four digits have no sign before them."""
+    return F.ltrim(F.date_format(at, pattern), F.lit("+"))
+
+
 def slot_to_time(slot: Column) -> Column:
-    return F.date_format(F.timestamp_millis(slot * SLOT_MS + EPOCH_MS), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    return time_text(F.timestamp_millis(slot * SLOT_MS + EPOCH_MS), "yyyy-MM-dd'T'HH:mm:ss.SSS")
 
 
 def time_to_slot(text: Column) -> Column:
@@ -27,7 +32,7 @@ def slot_to_hour(slot: Column) -> Column:
 
 
 def hour_to_date(hour: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(hour * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return time_text(F.timestamp_seconds(hour * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def date_to_hour(text: Column, end: bool = False) -> Column:

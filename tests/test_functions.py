@@ -20,6 +20,15 @@ def test_slots(spark):
     assert [r[0] for r in rows(spark, [0, 7200, 1593561600, 1593568800], "long", timeslots.slot_to_hour(F.col("x")))] == [262968, 262969, 484296, 484297]
 
 
+def test_years_of_five_digits(spark):
+    golden = {0: "1970-01-01T00:00:00", 253_402_300_799: "9999-12-31T23:59:59", 253_402_300_800: "10000-01-01T00:00:00", 6_000_000 * 99_991: "20981-07-13T10:40:00"}
+    assert [r[0] for r in rows(spark, golden, "long", codecs.expiration(F.col("x")))] == list(golden.values())
+    slot = (253_402_300_800 - 946_684_800) * 2
+    time = timeslots.slot_to_time(F.col("x"))
+    assert rows(spark, [slot + 1], "long", time, timeslots.time_to_slot(F.concat(time, F.lit("Z")))) == [("10000-01-01T00:00:00.500", slot + 1)]
+    assert rows(spark, [253_402_300_800 // 3600], "long", timeslots.hour_to_date(F.col("x"))) == [("10000-01-01T00:00:00Z",)]
+
+
 def test_dates(spark):
     assert timeslots.parse_date("2024-02-31") == timeslots.parse_date("2024-03-02")
     assert timeslots.parse_date("2024-01-05", True) - timeslots.parse_date("2024-01-05:00") == 23

@@ -576,7 +576,7 @@ QUERIES: dict[str, Query] = {
     "v_missing_onblock": _on(lambda h: integrity.missing_action(h.blocks, h.actions, CONTRACT, ACTION).select("slice_num", "block_num")),
     "v_slice_overlap": _on(lambda h: integrity.slice_overlaps(_broken(h))),
     "v_slice_gap": _on(lambda h: integrity.slice_gaps(h.blocks.where("slice_num % 3 <> 1"))),
-    "v_report": _on(lambda h: integrity.report(_issues(h)).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("severity") == integrity.ERROR, F.col("n")).otherwise(0)).alias("errors")).withColumn("status", F.when(F.col("errors") > 0, "failed").otherwise("passed"))),
+    "v_report": _on(lambda h: integrity.verdict(_issues(h))),
     "v_continuity": _on(lambda h: integrity.continuity(h.blocks)),
     "v_completeness": _on(lambda h: integrity.completeness(h.blocks, SLICE_BLOCKS)),
     "v_missing_file": _on(lambda h: integrity.missing_files(h.blocks.select("slice_num").distinct(), h.blocks.where("slice_num % 3 <> 1"))),

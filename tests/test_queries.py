@@ -37,3 +37,13 @@ def test_query(spark, db, name):
     assert sorted(found.columns) == columns
     theirs = sorted((tuple(r[found.columns.index(c)] for c in columns) for r in found.fetchall()), key=repr)
     assert mine == theirs
+
+
+@pytest.mark.parametrize("event_type", ["click", "view"])
+def test_report_with_and_without_findings(spark, tmp_path, event_type):
+    own = duckdb.connect()
+    own.sql(f"""create table events as select i as event_id, make_timestamp(1704067200000000 + i // 8 * 1800000000) as ts, i % 3 as user_id,
+      '{event_type}' as event_type, 1.5 as value, '{{"k": 3}}' as props from range(80) t(i)""")
+    own.sql(f"copy events to '{tmp_path}/events.parquet'")
+    got = [tuple(r) for r in QUERIES["v_report"](spark, str(tmp_path)).select("n", "errors", "status").collect()]
+    assert got == own.sql(ORACLE_SQL["v_report"]).select("n", "errors", "status").fetchall() == [(0, 0, "passed") if event_type == "click" else (9, 9, "failed")]

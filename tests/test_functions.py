@@ -94,6 +94,37 @@ def test_chunks_of_sequences():
         codecs.encode_chunk([])
 
 
+def test_chunks_of_many_sizes():
+    r = random.Random(2)
+    for _ in range(200):
+        seqs = sorted({r.randrange(2 ** r.randint(1, 63)) for _ in range(r.randint(1, 60))})
+        parts = [codecs.varint(b - a) for a, b in zip(seqs, seqs[1:])]
+        assert codecs.encode_chunk(seqs)[12:] == b"".join(parts)
+        assert codecs.decode_chunk(codecs.encode_chunk(seqs) + b"rest") == seqs == codecs.decode_chunk(codecs.encode_chunk(seqs, 0), 0)
+    with pytest.raises(ValueError):
+        codecs.encode_chunk([2, 1])
+
+
+def test_chunk_columns(spark):
+    lists = [[k + 1, k + 300, k + 2**40] for k in range(120)] + [None]
+    raw, lean = codecs.chunk_bytes("x"), codecs.lean_chunk_bytes(F.lit(1), F.col("x"))
+    df = spark.createDataFrame([(x,) for x in lists], "x array<long>").coalesce(1).select("x", raw.alias("raw"), lean.alias("lean"))
+    got = df.select("x", codecs.chunk_seqs("raw").alias("a"), codecs.lean_chunk_seqs(F.lit(1), F.col("lean")).alias("b")).collect()
+    assert [x.a for x in got] == [x.b for x in got] == lists
+
+
+def test_chunks_leave_in_pieces():
+    import pyarrow as pa
+
+    raw = codecs.encode_chunk(list(range(10_000)))
+    before = pa.total_allocated_bytes()
+    out = codecs.chunk_seqs.func(iter([pa.array([raw] * 2_000)]))
+    most = 0
+    for piece in out:
+        most = max(most, pa.total_allocated_bytes() - before, piece.nbytes)
+    assert most < 50 * 2**20  # all of them have 160 MB
+
+
 def test_signatures():
     import hashlib
 

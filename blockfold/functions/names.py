@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ def canonical(name: Column) -> Column:
 def to_u64(name: Column) -> Column:
     """The value as DECIMAL(20, 0); it may exceed a signed long."""
     padded = F.rpad(canonical(name), 13, ".")
-    codes = F.transform(F.split(F.substring(padded, 1, 12), ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    head = F.aggregate(F.filter(codes, lambda c: c >= 0), F.lit(0).cast("long"), lambda a, c: a * 32 + c)
+    code = lambda k: (F.instr(F.lit(ALPHABET), F.substring(padded, k, 1)) - 1).cast("long")
+    head = reduce(lambda a, k: a * 32 + code(k), range(2, 13), code(1))
     tail = F.instr(F.lit(ALPHABET), F.substring(padded, 13, 1)) - 1
     return (head.cast("decimal(20,0)") * F.lit(16).cast("decimal(3,0)") + tail.cast("decimal(3,0)")).cast("decimal(20,0)")
 

@@ -157,15 +157,15 @@ def _binary_text(text: Column) -> Column:
 
 def _setabi_data(contract: Column, version: Column, empty: Column) -> Column:
     """Data of a setabi action whose ABI has a struct `put` {q: uint64}, for the actions click and view."""
-    count = lambda n: codecs.little(F.lit(n), 1)
-    words = lambda *xs: F.concat(*(_binary_text(F.lit(x)) for x in xs))
-    name = lambda x: codecs.little(names.signed(names.to_u64(F.lit(x))), 8)
-    put = F.concat(count(1), words("put", ""), count(1), words("q", "uint64"))
-    actions = F.concat(count(2), name("click"), words("put", ""), name("view"), words("put", ""))
-    abi = F.concat(_binary_text(version), count(0), put, actions, count(0), count(0), count(0), count(0))
+    count = lambda n: bytes([n])
+    words = lambda *xs: b"".join(bytes([len(x)]) + x.encode() for x in xs)
+    name = lambda x: codecs.name_value(x).to_bytes(8, "little")
+    put = count(1) + words("put", "") + count(1) + words("q", "uint64")
+    actions = count(2) + name("click") + words("put", "") + name("view") + words("put", "")
+    abi = F.concat(_binary_text(version), F.lit(count(0) + put + actions + count(0) * 4))
     size = F.length(abi)
     length = F.concat(codecs.little(size % 128 + 128, 1), codecs.little(F.floor(size / 128), 1))  # as a number of two bytes
-    return F.concat(codecs.little(names.signed(names.to_u64(contract)), 8), F.when(empty, count(0)).otherwise(F.concat(length, abi)))
+    return F.concat(codecs.little(names.signed(names.to_u64(contract)), 8), F.when(empty, F.lit(count(0))).otherwise(F.concat(length, abi)))
 
 
 def _raw_actions(h: History) -> DataFrame:

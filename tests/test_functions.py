@@ -163,6 +163,22 @@ def test_setabi_and_bytes(spark):
     assert rows(spark, [b"plain", b"", None], "binary", codecs.decompress(codecs.compress("x")), codecs.decompress("x")) == [(b"plain",) * 2, (b"",) * 2, (None,) * 2]
 
 
+def test_setabi_data_takes_no_loops_over_constants(spark):
+    from blockfold.queries import _setabi
+
+    plan = _setabi(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "aggregate(" not in plan and "lambda" not in plan
+
+
+def test_an_abi_that_comes_again_is_read_once():
+    text = lambda x: bytes([len(x)]) + x.encode()
+    raw = (7).to_bytes(8, "little") + b"\x0a" + text("v1") + bytes(7)
+    codecs._short_abi_json.cache_clear()
+    got = codecs.parse_setabi.func([raw] * 3 + [raw[:9] + b"\x09"])
+    assert got.abi_json.tolist()[:3] == [codecs._abi_json(raw[9:])] * 3 and codecs._short_abi_json.cache_info().misses == 1
+    assert got.contract.isna().tolist() == [False] * 3 + [True]
+
+
 def test_packed_transactions(spark):
     action = b"\1" * 40
     packed = codecs.packed_trx(F.lit(1), F.lit(2), F.lit(3), F.array(F.lit(action), F.lit(action)))
